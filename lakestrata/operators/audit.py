@@ -138,10 +138,9 @@ def _table_rules(c: Convention, declared: bool) -> list[Column]:
     return rules
 
 
-def _tables(columns: DataFrame) -> DataFrame:
-    """One row per table; its attributes repeat on every column row."""
-    carried = ["table_comment", "partition_keys", "storage_format", "compression", *(["layer"] if "layer" in columns.columns else [])]
-    return columns.groupBy("table_name").agg(*[F.max(a).alias(a) for a in carried], F.max("is_primary_key").alias("has_key"))
+def _table_keys(columns: DataFrame) -> list[str]:
+    declared = ["layer"] if "layer" in columns.columns else []
+    return ["table_name", "table_comment", "partition_keys", "storage_format", "compression", *declared]
 
 
 def violations(columns: DataFrame, convention: Convention | None = None) -> DataFrame:
@@ -149,12 +148,13 @@ def violations(columns: DataFrame, convention: Convention | None = None) -> Data
 
     ``columns`` has one row per column: table_name, table_comment, column_name, data_type, nullable,
     is_primary_key, column_comment, partition_keys, storage_format, compression, and optionally the
-    declared ``layer``.
+    declared ``layer``. What describes the table is the same on all of its rows.
     """
     c = convention or Convention()
     per_column = columns.select("table_name", "column_name", F.inline(F.array_compact(F.array(*_column_rules(c)))))
     rules = _table_rules(c, "layer" in columns.columns)
-    per_table = _tables(columns).select("table_name", F.lit("").alias("column_name"), F.inline(F.array_compact(F.array(*rules))))
+    tables = columns.groupBy(*_table_keys(columns)).agg(F.max("is_primary_key").alias("has_key"))
+    per_table = tables.select("table_name", F.lit("").alias("column_name"), F.inline(F.array_compact(F.array(*rules))))
     return per_column.unionByName(per_table)
 
 
@@ -168,9 +168,7 @@ def scores(columns: DataFrame, convention: Convention | None = None) -> DataFram
     declared = "layer" in columns.columns
     flags = F.array_compact(F.array(*_column_rules(c)))
     marked = columns.withColumn("_flags", flags)
-    carried = ["table_comment", "partition_keys", "storage_format", "compression", *(["layer"] if declared else [])]
-    per_table = marked.groupBy("table_name").agg(
-        *[F.max(a).alias(a) for a in carried],
+    per_table = marked.groupBy(*_table_keys(columns)).agg(
         F.max("is_primary_key").alias("has_key"),
         *[F.sum(_count_of("_flags", s)).alias(f"_{s}") for s in PENALTIES],
     )

@@ -136,16 +136,16 @@ def trace_columns(column_edges: DataFrame, table: str, column: str, direction: s
 
 def impact(edges: DataFrame, column_edges: DataFrame, table: str, max_depth: int = MAX_DEPTH) -> DataFrame:
     """One row on what a change of ``table`` reaches: tables, greatest depth, direct and indirect counts, direct columns."""
-    reached = trace(edges, table, "downstream", max_depth)
-    tables = reached.agg(
-        F.count("*").alias("total_affected"),
+    reached = trace(edges, table, "downstream", max_depth).select("depth", F.lit(0).alias("column"))
+    columns = affected_columns(column_edges, table).select(F.lit(None).cast("int").alias("depth"), F.lit(1).alias("column"))
+    return reached.unionByName(columns).agg(
+        F.lit(table).alias("source_table"),
+        F.count("depth").alias("total_affected"),
         F.coalesce(F.max("depth"), F.lit(0)).cast("long").alias("impact_depth"),
         F.count_if(F.col("depth") == 1).alias("direct"),
         F.count_if(F.col("depth") > 1).alias("indirect"),
+        F.coalesce(F.sum("column"), F.lit(0)).alias("affected_columns"),
     )
-    columns = affected_columns(column_edges, table).agg(F.count("*").alias("affected_columns"))
-    keyed = tables.withColumn("source_table", F.lit(table))
-    return keyed.join(columns.withColumn("source_table", F.lit(table)), "source_table")
 
 
 def affected_columns(column_edges: DataFrame, table: str) -> DataFrame:
@@ -173,18 +173,22 @@ def upsert_edges(existing: DataFrame, new: DataFrame, order_column: str) -> Data
     return upsert(existing, new, keys, order_column)
 
 
-def _trim_loose_ends(edges: DataFrame) -> DataFrame:
-    """Edges between nodes that have both an incoming and an outgoing edge, to a fixed point."""
+def _trim_loose_ends(edges: DataFrame, rounds: int) -> DataFrame:
+    """Drop edges whose start nothing enters or whose end nothing leaves, over and over.
+
+    Only an optimisation, so the number of rounds may be bounded: what stays for want of rounds
+    costs work later on but adds no cycle.
+    """
     edges = cut_lineage(edges)
     size = edges.count()
-    while size:
-        has_in = edges.select(F.col("dst").alias("src")).distinct()
-        has_out = edges.select(F.col("src").alias("dst")).distinct()
-        edges = cut_lineage(edges.join(has_in, "src", "left_semi").join(has_out, "dst", "left_semi").select("src", "dst"))
-        left = edges.count()
-        if left == size:
+    for _ in range(rounds):
+        entered = edges.select(F.col("dst").alias("src")).distinct()
+        left = edges.select(F.col("src").alias("dst")).distinct()
+        edges = cut_lineage(edges.join(entered, "src", "left_semi").join(left, "dst", "left_semi").select("src", "dst"))
+        remaining = edges.count()
+        if remaining == size or not remaining:
             break
-        size = left
+        size = remaining
     return edges
 
 
@@ -194,7 +198,7 @@ def cycles(edges: DataFrame, max_len: int) -> DataFrame:
     A cycle is grown from its smallest node through greater nodes only, so it is found once. Nodes
     that cannot lie on a cycle are trimmed first. A self edge is the cycle [a, a].
     """
-    steps = _trim_loose_ends(edges.select("src", "dst").distinct())
+    steps = _trim_loose_ends(edges.select("src", "dst").distinct(), max_len)
     self_loops = steps.where(F.col("src") == F.col("dst")).select(F.array("src", "dst").alias("path"), F.lit(1).alias("length"))
     onward = steps.where(F.col("src") != F.col("dst"))
     paths = onward.where(F.col("dst") > F.col("src")).select(F.array("src", "dst").alias("path"))

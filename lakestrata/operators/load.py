@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +75,14 @@ def merge(
     return kept.unionByName(added)
 
 
+def merge_latest(target: DataFrame, source: DataFrame, keys: Sequence[str], order_column: str) -> DataFrame:
+    """Per key the row with the greatest ``order_column`` of both sides.
+
+    Batches may be applied in any order, and more than once, with the same result.
+    """
+    return keep_latest(target.unionByName(source.select(*target.columns)), keys, order_column)
+
+
 def append_table(df: DataFrame, table: str) -> None:
     """INSERT INTO by column name: the frame is put in the table's order first."""
     target = df.sparkSession.table(table)
@@ -131,12 +140,20 @@ def touched_partitions(source: DataFrame, partition: str) -> list:
     return [r[0] for r in source.select(partition).distinct().collect()]
 
 
-def upsert_partitions(source: DataFrame, path: str, keys: Sequence[str], partition: str, order_column: str | None = None) -> None:
+def upsert_partitions(
+    source: DataFrame,
+    path: str,
+    keys: Sequence[str],
+    partition: str,
+    order_column: str | None = None,
+    newest_wins: bool = False,
+) -> None:
     """Upsert into a Parquet folder partitioned by ``partition``, which must be one of the keys.
 
     Only the partitions that the source touches are read and rewritten. The new rows are written
     to the scratch folder first, so a task retried during the overwrite never reads files that the
-    same job replaces.
+    same job replaces. By default the source wins; with ``newest_wins`` the row with the greatest
+    ``order_column`` does, on whichever side it is.
     """
     if partition not in keys:
         raise ValueError("the partition column must be one of the keys")
@@ -144,6 +161,23 @@ def upsert_partitions(source: DataFrame, path: str, keys: Sequence[str], partiti
     values = touched_partitions(source, partition)
     if not values:
         return
-    target = spark.read.schema(source.schema).parquet(path).where(F.col(partition).isin(values))
-    merged = materialize(upsert(target.select(*source.columns), source, keys, order_column), "upsert")
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    stored = spark.read.schema(source.schema).parquet(path) if _exists(spark, path) else source.where(F.lit(False))
+    target = stored.where(F.col(partition).isin(values)).select(*source.columns)
+    if newest_wins:
+        if order_column is None:
+            raise ValueError("newest_wins needs an order column")
+        result = merge_latest(target, source, keys, order_column)
+    else:
+        result = upsert(target, source, keys, order_column)
+    settled = materialize(result, "upsert")
+    settled.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.format("binaryFile").option("pathGlobFilter", "_none_").load(path)
+        return True
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False

@@ -72,25 +72,24 @@ def _neighbour(
     bucket: Column,
     forward: bool,
 ) -> DataFrame:
-    step = F.lead if forward else F.lag
-    outermost = F.min_by if forward else F.max_by
+    step, opposite = (F.lead, F.lag) if forward else (F.lag, F.lead)
     record = F.struct(*[F.col(src).alias(dst) for dst, src in values.items()])
     tagged = df.withColumn("_bucket", bucket).withColumn("_self", record)
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order_by)
-    near = tagged.withColumn("_near", step("_self").over(inside))
-    edges = tagged.groupBy(*keys, "_bucket").agg(outermost("_self", F.struct(*order_by)).alias("_edge"))
-    across = Window.partitionBy(*keys).orderBy("_bucket")
-    carried = edges.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-        F.col("_bucket").alias("_kb"),
-        step("_edge").over(across).alias("_carry"),
+    near = tagged.select(
+        "*", step("_self").over(inside).alias("_found"), opposite(F.lit(1)).over(inside).isNull().alias("_outermost")
     )
-    same = F.col("_bucket").eqNullSafe(F.col("_kb"))
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    found = F.coalesce("_near", "_carry")
-    joined = near.join(carried, same, "left")
-    return joined.select(*df.columns, *[found.getField(dst).alias(dst) for dst in values])
+    # Only the first and last row of each (key, bucket) meet again per key; Spark reuses the one
+    # full shuffle for both branches.
+    settled = near.where(F.col("_found").isNotNull())
+    edges = near.where(F.col("_found").isNull() | F.col("_outermost"))
+    across = step("_self").over(Window.partitionBy(*keys).orderBy(*order_by))
+    carried = edges.withColumn("_carry", across).where(F.col("_found").isNull()).drop("_found")
+    parts = [
+        part.select(*df.columns, *[F.col(found).getField(dst).alias(dst) for dst in values])
+        for part, found in ((settled, "_found"), (carried, "_carry"))
+    ]
+    return parts[0].union(parts[1])
 
 
 def previous_row(
@@ -98,10 +97,10 @@ def previous_row(
 ) -> DataFrame:
     """``lag`` per key, split by ``bucket`` so that one busy key is spread over many tasks.
 
-    ``bucket`` must grow with the first order column, for example its day. Neighbours inside a
-    bucket come from a window over (key, bucket); the first row of a bucket takes the last row of
-    the key's bucket before, which is read from one summary row per (key, bucket).
-    ``values`` maps new column names to source columns.
+    ``bucket`` must grow with the first order column, for example its day, and ``order_by`` must
+    order the rows of a key fully. Neighbours inside a bucket come from a window over (key,
+    bucket). The first row of a bucket finds its neighbour among the outermost rows of the key's
+    buckets, at most two per bucket. ``values`` maps new column names to source columns.
     """
     return _neighbour(df, keys, order_by, values, bucket, forward=False)
 

@@ -52,9 +52,22 @@ def scratch_dir(spark: SparkSession) -> str:
     return fallback
 
 
+_made: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared scratch folder."""
-    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def release_scratch(spark: SparkSession) -> int:
+    """Delete what this session wrote to scratch paths; call it once the results are stored."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    paths, _made[:] = list(_made), []
+    return sum(1 for p in paths if (target := hadoop(p)).getFileSystem(conf).delete(target, True))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

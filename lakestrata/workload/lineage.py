@@ -31,7 +31,7 @@ def supply_edges(t):
         (t.lineitem, "order", "l_orderkey", "part", "l_partkey"),
         (t.lineitem, "part", "l_partkey", "supplier", "l_suppkey"),
     ]
-    parts = [df.select(_node(a, x).alias("src"), _node(b, y).alias("dst")).distinct() for df, a, x, b, y in hops]
+    parts = [df.select(_node(a, x).alias("src"), _node(b, y).alias("dst")) for df, a, x, b, y in hops]
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
