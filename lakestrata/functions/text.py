@@ -73,8 +73,19 @@ def matches_any_glob(c: Column, patterns: Iterable[str]) -> Column:
 
 def first_keyword(c: Column, mapping: Mapping[str, str], default: str) -> Column:
     """Label of the first keyword, in mapping order, that the lower-cased text contains."""
+    # Every test is evaluated, so the text is lower-cased once and not once per keyword.
     text = F.lower(c)
-    return F.coalesce(*[F.when(text.contains(k), F.lit(v)) for k, v in mapping.items()], F.lit(default))
+    first = F.array_position(F.array(*[text.contains(k) for k in mapping]), True)
+    labels = F.array(F.lit(default), *[F.lit(v) for v in mapping.values()])
+    return F.element_at(labels, (F.coalesce(first, F.lit(0)) + 1).cast("int"))
+
+
+def present(values: Column) -> Column:
+    """An array of distinct strings without its NULLs.
+
+    Unlike ``array_compact`` this is compiled, and so is everything the array is made of.
+    """
+    return F.array_except(values, F.array(F.lit(None).cast("string")))
 
 
 def domain_of(c: Column) -> Column:

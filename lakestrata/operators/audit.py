@@ -64,12 +64,35 @@ class Convention:
     codecs: Mapping[str, str] = field(default_factory=lambda: {"clickhouse": "LZ4", "hive": "SNAPPY"})
 
 
-def _flag(rule: str, severity: str, broken: Column) -> Column:
-    return F.when(broken, F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity")))
+@dataclass(frozen=True)
+class Rule:
+    """One rule as a condition that is true where it is broken."""
+
+    name: str
+    severity: str
+    broken: Column
+
+
+def _broken_rules(rules: list[Rule]) -> Column:
+    """Generator of one (rule, severity) row per rule; rules that hold give a NULL row."""
+    return F.inline(
+        F.array(*[F.when(r.broken, F.struct(F.lit(r.name).alias("rule"), F.lit(r.severity).alias("severity"))) for r in rules])
+    )
+
+
+def _count(rules: list[Rule], severity: str) -> Column:
+    """How many rules of a severity a row breaks."""
+    total = F.lit(0).cast("long")
+    for r in rules:
+        if r.severity == severity:
+            total = total + F.when(r.broken, 1).otherwise(0)
+    return total
 
 
 def _has_reserved(name: Column, words: tuple[str, ...]) -> Column:
-    return F.arrays_overlap(F.split(F.lower(name), r"[_\-\s]+"), F.array(*[F.lit(w.lower()) for w in words]))
+    """A reserved word as a whole part of the name, parts being split at ``_``, ``-`` and blanks."""
+    union = "|".join(re.escape(w.lower()) for w in words)
+    return F.lower(name).rlike(rf"(?:^|[_\-\s])(?:{union})(?:[_\-\s]|$)")
 
 
 def _breaks_case(name: Column, style: str) -> Column:
@@ -82,7 +105,7 @@ def template_regex(template: str) -> str:
     return ".+".join(re.escape(part) for part in re.split(r"\{\w+\}", template))
 
 
-def _column_rules(c: Convention) -> list[Column]:
+def _column_rules(c: Convention) -> list[Rule]:
     name, comment = F.col("column_name"), F.coalesce(F.col("column_comment"), F.lit(""))
     kind = F.upper(F.trim(F.coalesce(F.col("data_type"), F.lit(""))))
     base = F.split(kind, r"[(\s]")[0]
@@ -98,43 +121,43 @@ def _column_rules(c: Convention) -> list[Column]:
     no_comment = blank if c.column_comment_required else F.lit(False)
     short = ~no_comment & (comment != "") & (F.length(F.trim(comment)) < c.column_comment_min_length)
     return [
-        _flag("naming.column_case", "warning", _breaks_case(name, c.case_style)),
-        _flag("naming.reserved_word_column", "error", _has_reserved(name, c.reserved_words)),
-        _flag("datatype.forbidden", "error", is_forbidden),
-        _flag("datatype.unknown_for_engine", "warning", unknown),
-        _flag("comment.column_required", "warning", no_comment),
-        _flag("comment.column_min_length", "info", short),
-        _flag("quality.not_null", "warning", matches_any_glob(name, c.not_null_globs) & F.col("nullable")),
-        _flag("quality.unique_hint", "info", matches_any_glob(name, c.unique_globs)),
+        Rule("naming.column_case", "warning", _breaks_case(name, c.case_style)),
+        Rule("naming.reserved_word_column", "error", _has_reserved(name, c.reserved_words)),
+        Rule("datatype.forbidden", "error", is_forbidden),
+        Rule("datatype.unknown_for_engine", "warning", unknown),
+        Rule("comment.column_required", "warning", no_comment),
+        Rule("comment.column_min_length", "info", short),
+        Rule("quality.not_null", "warning", matches_any_glob(name, c.not_null_globs) & F.col("nullable")),
+        Rule("quality.unique_hint", "info", matches_any_glob(name, c.unique_globs)),
     ]
 
 
-def _table_rules(c: Convention, declared: bool) -> list[Column]:
+def _table_rules(c: Convention, declared: bool) -> list[Rule]:
     name, comment = F.col("table_name"), F.coalesce(F.col("table_comment"), F.lit(""))
     layer = layer_of(name, c.prefixes)
     expected = F.coalesce(*[F.when(layer == k, F.lit(v)) for k, v in c.partition_by_layer.items()])
     keys = F.coalesce(F.col("partition_keys"), F.array().cast("array<string>"))
     keyed = F.size(keys) > 0
     rules = [
-        _flag("naming.table_case", "error", _breaks_case(name, c.case_style)),
-        _flag("naming.reserved_word_table", "error", _has_reserved(name, c.reserved_words)),
-        _flag("comment.table_required", "error", F.lit(c.table_comment_required) & (F.trim(comment) == "")),
-        _flag("partition.column_mismatch", "warning", keyed & expected.isNotNull() & ~F.array_contains(keys, expected)),
-        _flag("partition.missing", "info", ~keyed & expected.isNotNull()),
-        _flag("quality.primary_key_required", "warning", F.lit(c.primary_key_required) & ~F.col("has_key")),
+        Rule("naming.table_case", "error", _breaks_case(name, c.case_style)),
+        Rule("naming.reserved_word_table", "error", _has_reserved(name, c.reserved_words)),
+        Rule("comment.table_required", "error", F.lit(c.table_comment_required) & (F.trim(comment) == "")),
+        Rule("partition.column_mismatch", "warning", keyed & expected.isNotNull() & ~F.array_contains(keys, expected)),
+        Rule("partition.missing", "info", ~keyed & expected.isNotNull()),
+        Rule("quality.primary_key_required", "warning", F.lit(c.primary_key_required) & ~F.col("has_key")),
     ]
     if c.table_comment_template:
-        rules.append(_flag("comment.table_pattern", "warning", (comment != "") & ~comment.rlike(template_regex(c.table_comment_template))))
+        rules.append(Rule("comment.table_pattern", "warning", (comment != "") & ~comment.rlike(template_regex(c.table_comment_template))))
     for rule, column, wanted in (
         ("storage.format", "storage_format", c.formats),
         ("storage.compression", "compression", c.codecs),
     ):
         if c.engine in wanted:
             given = F.coalesce(F.col(column), F.lit(""))
-            rules.append(_flag(rule, "info", (given != "") & (F.upper(given) != wanted[c.engine].upper())))
+            rules.append(Rule(rule, "info", (given != "") & (F.upper(given) != wanted[c.engine].upper())))
     if declared:
         starts = F.coalesce(*[F.when(F.col("layer") == k, name.startswith(p)) for k, p in c.prefixes.items()], F.lit(True))
-        rules.append(_flag("naming.table_prefix", "error", ~starts))
+        rules.append(Rule("naming.table_prefix", "error", ~starts))
     return rules
 
 
@@ -151,10 +174,11 @@ def violations(columns: DataFrame, convention: Convention | None = None) -> Data
     declared ``layer``. What describes the table is the same on all of its rows.
     """
     c = convention or Convention()
-    per_column = columns.select("table_name", "column_name", F.inline(F.array_compact(F.array(*_column_rules(c)))))
-    rules = _table_rules(c, "layer" in columns.columns)
+    broken = F.col("rule").isNotNull()
+    per_column = columns.select("table_name", "column_name", _broken_rules(_column_rules(c))).where(broken)
     tables = columns.groupBy(*_table_keys(columns)).agg(F.max("is_primary_key").alias("has_key"))
-    per_table = tables.select("table_name", F.lit("").alias("column_name"), F.inline(F.array_compact(F.array(*rules))))
+    rules = _table_rules(c, "layer" in columns.columns)
+    per_table = tables.select("table_name", F.lit("").alias("column_name"), _broken_rules(rules)).where(broken)
     return per_column.unionByName(per_table)
 
 
@@ -165,25 +189,17 @@ def scores(columns: DataFrame, convention: Convention | None = None) -> DataFram
     table's attributes, so the columns are shuffled once, as partial sums.
     """
     c = convention or Convention()
-    declared = "layer" in columns.columns
-    flags = F.array_compact(F.array(*_column_rules(c)))
-    marked = columns.withColumn("_flags", flags)
-    per_table = marked.groupBy(*_table_keys(columns)).agg(
-        F.max("is_primary_key").alias("has_key"),
-        *[F.sum(_count_of("_flags", s)).alias(f"_{s}") for s in PENALTIES],
+    column_rules, table_rules = _column_rules(c), _table_rules(c, "layer" in columns.columns)
+    per_table = columns.groupBy(*_table_keys(columns)).agg(
+        F.max("is_primary_key").alias("has_key"), *[F.sum(_count(column_rules, s)).alias(f"_{s}") for s in PENALTIES]
     )
-    total = per_table.withColumn("_flags", F.array_compact(F.array(*_table_rules(c, declared))))
-    counted = total.select("table_name", *[(F.col(f"_{s}") + _count_of("_flags", s)).alias(f"{s}s") for s in PENALTIES])
+    counted = per_table.select("table_name", *[(F.col(f"_{s}") + _count(table_rules, s)).alias(f"{s}s") for s in PENALTIES])
     penalty = sum((F.col(f"{s}s") * p for s, p in PENALTIES.items()), F.lit(0))
     return counted.select(
         "*", F.greatest(F.lit(0), 100 - penalty).cast("long").alias("score"), (F.col("errors") == 0).alias("is_valid")
     )
 
 
-def _count_of(flags: str, severity: str) -> Column:
-    return F.size(F.filter(flags, lambda x: x["severity"] == severity)).cast("long")
-
-
 def placement_problems(tables: DataFrame) -> DataFrame:
     """(table_name, layer, rule, detail) for (table_name, layer): prefix, pattern, foreign prefix."""
     name, layer = F.col("table_name"), F.col("layer")
@@ -200,4 +216,4 @@ def placement_problems(tables: DataFrame) -> DataFrame:
         problem("placement.pattern", ~pattern_ok, layer),
         problem("placement.foreign_prefix", prefix.isNotNull() & foreign.isNotNull(), foreign),
     )
-    return tables.select("table_name", "layer", F.inline(F.array_compact(found)))
+    return tables.select("table_name", "layer", F.inline(found)).where(F.col("rule").isNotNull())

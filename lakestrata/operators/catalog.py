@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakestrata.functions.text import present
+
 # Tenths of a point per kind of match, the cap, and list lengths.
 NAME, FULL_NAME, DESCRIPTION, COLUMN, COLUMN_TEXT, TAG, CAP = 5, 3, 3, 2, 1, 2, 10
 SEARCH_LIMIT, TOP_TAGS = 50, 20
@@ -54,7 +56,7 @@ def search(catalog: DataFrame, keyword: str, filters: Mapping[str, str] | None =
         + F.size(by_tag) * TAG
     )
     fields = F.concat(
-        F.array_compact(
+        present(
             F.array(
                 F.when(hit(F.col("table_name")), "table_name"),
                 F.when(hit(F.col("full_name")), "full_name"),

@@ -79,8 +79,8 @@ def scd2_apply(
             F.lit(True).alias("is_current"),
         ),
     )
-    versions = paired.select(*keys, F.explode(F.array_compact(F.array(kept, opened))).alias("v"))
-    return closed.unionByName(versions.select(*keys, "v.*").select(*columns))
+    versions = paired.select(*keys, F.inline(F.array(kept, opened))).where(F.col("is_current").isNotNull())
+    return closed.unionByName(versions.select(*columns))
 
 
 def scd3(dimension: DataFrame, changes: DataFrame, keys: Sequence[str], attributes: Sequence[str]) -> DataFrame:

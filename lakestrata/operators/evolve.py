@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakestrata.functions.text import present
+
 
 def columns_frame(df: DataFrame, table: str) -> DataFrame:
     """(table_name, column_name, data_type, comment, position) of one frame."""
@@ -29,14 +31,14 @@ def diff_schemas(before: DataFrame, after: DataFrame) -> DataFrame:
     old = before.select(*keys, F.col("data_type").alias("from_type"), F.col("comment").alias("_c0"), F.lit(1).alias("_old"))
     new = after.select(*keys, F.col("data_type").alias("to_type"), F.col("comment").alias("_c1"), F.lit(1).alias("_new"))
     both = old.join(new, keys, "full_outer")
-    present = F.col("_old").isNotNull() & F.col("_new").isNotNull()
+    stays = F.col("_old").isNotNull() & F.col("_new").isNotNull()
     commented = ~F.col("_c0").eqNullSafe(F.col("_c1")) & (F.coalesce(F.col("_c1"), F.lit("")) != "")
-    changes = F.array_compact(
+    changes = present(
         F.array(
             F.when(F.col("_old").isNull(), "added"),
             F.when(F.col("_new").isNull(), "removed"),
-            F.when(present & ~F.col("from_type").eqNullSafe(F.col("to_type")), "type_changed"),
-            F.when(present & commented, "comment_changed"),
+            F.when(stays & ~F.col("from_type").eqNullSafe(F.col("to_type")), "type_changed"),
+            F.when(stays & commented, "comment_changed"),
         )
     )
     return both.select(*keys, F.explode(changes).alias("change"), "from_type", "to_type")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lakestrata.operators.audit import placement_problems
 from lakestrata.operators.load import upsert
-from lakestrata.session import cut_lineage, materialize
+from lakestrata.session import materialize
 
 # Statement shapes that name a target, tried in this order.
 TARGET_PATTERNS = (
@@ -46,13 +46,25 @@ def edges_from_log(log: DataFrame) -> DataFrame:
     The first target of a statement counts. Names that the statement defines itself by WITH are
     not sources, nor is the target.
     """
-    named = [F.nullif(_bare(F.regexp_extract("sql", p, 1)), F.lit("")) for _, p in TARGET_PATTERNS]
-    rel = F.coalesce(*[F.when(n.isNotNull(), F.lit(label)) for n, (label, _) in zip(named, TARGET_PATTERNS)])
-    found = F.transform(F.regexp_extract_all("sql", F.lit(SOURCE_PATTERN), F.lit(1)), _bare)
-    local = F.transform(F.regexp_extract_all("sql", F.lit(CTE_PATTERN), F.lit(1)), F.lower)
-    parsed = log.select(F.coalesce(*named).alias("dst"), rel.alias("rel"), found.alias("found"), local.alias("local"))
-    flat = parsed.where(F.col("dst").isNotNull()).select("dst", "rel", "local", F.explode("found").alias("src"))
-    real = flat.where(~F.upper("src").isin(*NOT_A_TABLE) & ~F.array_contains("local", F.lower("src")) & (F.col("src") != F.col("dst")))
+    raw = log.select(
+        *[F.regexp_extract("sql", pattern, 1).alias(f"t{i}") for i, (_, pattern) in enumerate(TARGET_PATTERNS)],
+        F.regexp_extract_all("sql", F.lit(SOURCE_PATTERN), F.lit(1)).alias("found"),
+        F.regexp_extract_all(F.lower("sql"), F.lit(CTE_PATTERN), F.lit(1)).alias("local"),
+    )
+    bare = raw.select(*[_bare(F.col(f"t{i}")).alias(f"t{i}") for i in range(len(TARGET_PATTERNS))], "found", "local")
+    target = F.coalesce(
+        *[
+            F.when(F.col(f"t{i}") != "", F.struct(F.col(f"t{i}").alias("dst"), F.lit(label).alias("rel")))
+            for i, (label, _) in enumerate(TARGET_PATTERNS)
+        ]
+    )
+    parsed = bare.select(target.alias("target"), "found", "local")
+    # One row per source before the names are cleaned: the clean-up stays in compiled code.
+    flat = parsed.select("target.dst", "target.rel", "local", F.explode("found").alias("raw"))
+    named = flat.select(_bare(F.col("raw")).alias("src"), "dst", "rel", "local")
+    real = named.where(
+        ~F.upper("src").isin(*NOT_A_TABLE) & ~F.array_contains("local", F.lower("src")) & (F.col("src") != F.col("dst"))
+    )
     return real.select("src", "dst", "rel").distinct()
 
 
@@ -80,7 +92,7 @@ def _expand(frontier: DataFrame, visited: DataFrame, steps: DataFrame, depth: in
     """One hop to unvisited nodes, each with its smallest path; written out before the next hop."""
     hop = frontier.join(steps, frontier["node"] == steps["near"])
     reached = hop.groupBy(F.col("far").alias("node")).agg(F.min(F.array_append("path", F.col("far"))).alias("path"))
-    return cut_lineage(reached.join(visited, "node", "left_anti").withColumn("depth", F.lit(depth)))
+    return materialize(reached.join(visited, "node", "left_anti").withColumn("depth", F.lit(depth)), "hop")
 
 
 def trace(
@@ -89,8 +101,9 @@ def trace(
     """Every table reachable from ``origin``: (node, depth, path), at its least depth.
 
     The origin is not part of the answer. Of several shortest paths the smallest in order of names
-    is given. The work per hop is one join of the frontier with the edges; a frontier that is small
-    is broadcast, so a table with very many edges is not pulled into one task.
+    is given. The work per hop is one join of the frontier with the edges. Each frontier is written
+    to the scratch folder, so its size is known: a small one is broadcast and the edges, however
+    many a table has, are not shuffled.
     ``first`` replaces the edges of the first hop.
     """
     steps = materialize(_oriented(edges, direction), "edges")
@@ -179,12 +192,13 @@ def _trim_loose_ends(edges: DataFrame, rounds: int) -> DataFrame:
     Only an optimisation, so the number of rounds may be bounded: what stays for want of rounds
     costs work later on but adds no cycle.
     """
-    edges = cut_lineage(edges)
+    edges = materialize(edges, "cycle-edges")
     size = edges.count()
     for _ in range(rounds):
         entered = edges.select(F.col("dst").alias("src")).distinct()
         left = edges.select(F.col("src").alias("dst")).distinct()
-        edges = cut_lineage(edges.join(entered, "src", "left_semi").join(left, "dst", "left_semi").select("src", "dst"))
+        kept = edges.join(entered, "src", "left_semi").join(left, "dst", "left_semi").select("src", "dst")
+        edges = materialize(kept, "cycle-edges")
         remaining = edges.count()
         if remaining == size or not remaining:
             break
@@ -205,11 +219,10 @@ def cycles(edges: DataFrame, max_len: int) -> DataFrame:
     result = self_loops
     for length in range(2, max_len + 1):
         last, first = F.element_at("path", -1), F.element_at("path", 1)
-        grown = cut_lineage(
-            paths.join(onward, last == onward["src"])
-            .where((F.col("dst") >= first) & ((F.col("dst") == first) | ~F.array_contains("path", F.col("dst"))))
-            .select(F.array_append("path", F.col("dst")).alias("path"))
+        step = paths.join(onward, last == onward["src"]).where(
+            (F.col("dst") >= first) & ((F.col("dst") == first) | ~F.array_contains("path", F.col("dst")))
         )
+        grown = materialize(step.select(F.array_append("path", F.col("dst")).alias("path")), "cycle-paths")
         closed = F.element_at("path", -1) == F.element_at("path", 1)
         result = result.unionByName(grown.where(closed).withColumn("length", F.lit(length)))
         paths = grown.where(~closed)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakestrata.functions.text import count_pattern
+from lakestrata.functions.text import count_pattern, present
 from lakestrata.sources.write import IDENTIFIER, READ_ONLY_OPENINGS
 
 # DDL statements that may run.
@@ -55,7 +55,7 @@ def features(log: DataFrame) -> DataFrame:
         F.array_sort(F.array_distinct(F.regexp_extract_all("sql", F.lit(r"(?i)(?:FROM|JOIN)\s+([a-zA-Z_][\w.]*)"), F.lit(1)))).alias("tables"),
     )
     seen = [F.when(_holds(upper, test), label) for label, test in OPERATIONS]
-    operations = F.array_compact(F.array(*seen))
+    operations = present(F.array(*seen))
     return counted.withColumn("operations", operations)
 
 
@@ -79,7 +79,7 @@ def complexity(featured: DataFrame) -> DataFrame:
     )
     upper = F.upper("sql")
     has = lambda op: F.array_contains("operations", op)
-    warnings = F.array_compact(
+    warnings = present(
         F.array(
             F.when(joins >= 5, "many_joins"),
             F.when(upper.contains("SELECT *"), "select_star"),
@@ -88,7 +88,7 @@ def complexity(featured: DataFrame) -> DataFrame:
             F.when(upper.rlike(r"\bOR\b") & upper.contains("WHERE"), "or_in_where"),
         )
     )
-    bottlenecks = F.array_compact(
+    bottlenecks = present(
         F.array(
             F.when(joins >= 3, "multi-table joins"),
             F.when(has("aggregation") & (joins > 0), "join + aggregation combination"),

@@ -13,6 +13,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Accept one more exchange when it lets a hot join key be split.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Larger generated methods are not JIT-compiled; beyond this Spark splits the expressions instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
