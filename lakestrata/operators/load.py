@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lakestrata.operators.windows import keep_latest, orderable
@@ -106,9 +106,11 @@ def overwrite_partitions(df: DataFrame, table: str, partition: str, values: Sequ
     spark = df.sparkSession
     target = spark.table(table)
     rows = df.where(F.col(partition).isin(list(values))).select(*target.columns)
-    rows.write.option("partitionOverwriteMode", "dynamic").insertInto(table, overwrite=True)
-    written = {r[0] for r in rows.select(partition).distinct().collect()}  # at most len(values) rows
-    for value in set(values) - written:
+    # The write itself reports which of the listed partitions it met.
+    seen = Observation()
+    observed = rows.observe(seen, F.collect_set(F.col(partition).cast("string")).alias("met"))
+    observed.write.option("partitionOverwriteMode", "dynamic").insertInto(table, overwrite=True)
+    for value in set(values) - set(seen.get["met"]):
         spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({partition} = '{value}')")
 
 
@@ -158,6 +160,7 @@ def upsert_partitions(
     if partition not in keys:
         raise ValueError("the partition column must be one of the keys")
     spark: SparkSession = source.sparkSession
+    source = materialize(source, "changes")  # read several times below
     values = touched_partitions(source, partition)
     if not values:
         return

@@ -121,8 +121,13 @@ def attach_first_last(
     window cannot do.
     """
     order = F.struct(*order_by)
-    ends = df.groupBy(*keys).agg(F.min_by(column, order).alias(first_as), F.max_by(column, order).alias(last_as))
-    return df.join(ends, list(keys), "left")
+    ends = df.groupBy(*[F.col(k).alias(f"_e_{k}") for k in keys]).agg(
+        F.min_by(column, order).alias(first_as), F.max_by(column, order).alias(last_as)
+    )
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_e_{k}"))
+    return df.join(ends, same, "left").drop(*[f"_e_{k}" for k in keys])
 
 
 def trailing_days(

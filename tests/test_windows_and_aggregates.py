@@ -129,3 +129,9 @@ def test_cosine_of_zero_vectors(spark):
     df = spark.createDataFrame([([0.0, 0.0], [1.0, 0.0]), ([1.0, 1.0], [2.0, 2.0])], "a array<float>, b array<float>")
     got = [r[0] for r in df.select(N.cosine(F.col("a"), F.col("b"))).collect()]
     assert got[0] == 0 and got[1] == pytest.approx(1)
+
+
+def test_first_and_last_value_with_a_null_key(spark):
+    df = spark.createDataFrame([(None, 1, "a"), (None, 2, "b"), ("k", 1, "c")], "k string, t int, v string")
+    got = W.attach_first_last(df, ["k"], ["t"], "v", "f", "l").select("k", "t", "f", "l")
+    assert rows(got) == sorted([(None, 1, "a", "b"), (None, 2, "a", "b"), ("k", 1, "c", "c")], key=repr)
