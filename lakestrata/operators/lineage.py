@@ -37,7 +37,7 @@ MAX_DEPTH = 20
 
 def _bare(c: Column) -> Column:
     """A table name without quotes, brackets or a closing mark around it."""
-    return F.regexp_replace(c, r"""^[`";(]+|[`";(),]+$""", "")
+    return F.btrim(c, F.lit('`";(),'))
 
 
 def edges_from_log(log: DataFrame) -> DataFrame:
@@ -46,10 +46,13 @@ def edges_from_log(log: DataFrame) -> DataFrame:
     The first target of a statement counts. Names that the statement defines itself by WITH are
     not sources, nor is the target.
     """
+    text = F.lower("sql")
+    none = F.array().cast("array<string>")
+    local = F.when(text.contains("with"), F.regexp_extract_all(text, F.lit(CTE_PATTERN), F.lit(1))).otherwise(none)
     raw = log.select(
         *[F.regexp_extract("sql", pattern, 1).alias(f"t{i}") for i, (_, pattern) in enumerate(TARGET_PATTERNS)],
         F.regexp_extract_all("sql", F.lit(SOURCE_PATTERN), F.lit(1)).alias("found"),
-        F.regexp_extract_all(F.lower("sql"), F.lit(CTE_PATTERN), F.lit(1)).alias("local"),
+        local.alias("local"),
     )
     bare = raw.select(*[_bare(F.col(f"t{i}")).alias(f"t{i}") for i in range(len(TARGET_PATTERNS))], "found", "local")
     target = F.coalesce(
@@ -85,7 +88,7 @@ def roots(edges: DataFrame) -> DataFrame:
 
 def _oriented(edges: DataFrame, direction: str) -> DataFrame:
     near, far = {"downstream": ("src", "dst"), "upstream": ("dst", "src")}[direction]
-    return edges.select(F.col(near).alias("near"), F.col(far).alias("far")).distinct()
+    return edges.select(F.col(near).alias("near"), F.col(far).alias("far"))
 
 
 def _expand(frontier: DataFrame, visited: DataFrame, steps: DataFrame, depth: int) -> DataFrame:
@@ -96,19 +99,28 @@ def _expand(frontier: DataFrame, visited: DataFrame, steps: DataFrame, depth: in
 
 
 def trace(
-    edges: DataFrame, origin: str, direction: str = "downstream", max_depth: int = MAX_DEPTH, first: DataFrame | None = None
+    edges: DataFrame,
+    origin: str,
+    direction: str = "downstream",
+    max_depth: int = MAX_DEPTH,
+    first: DataFrame | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """Every table reachable from ``origin``: (node, depth, path), at its least depth.
 
     The origin is not part of the answer. Of several shortest paths the smallest in order of names
     is given. The work per hop is one join of the frontier with the edges. Each frontier is written
     to the scratch folder, so its size is known: a small one is broadcast and the edges, however
-    many a table has, are not shuffled.
+    many a table has, are not shuffled. Edges are read once per hop and may repeat. They are
+    written out first, unless they are ``stored``: a plain table that is cheap to read again.
     ``first`` replaces the edges of the first hop.
     """
-    steps = materialize(_oriented(edges, direction), "edges")
+    steps = _oriented(edges, direction)
+    if not stored:
+        steps = materialize(steps, "edges")
     spark = edges.sparkSession
-    start = spark.createDataFrame([(origin, [origin])], "node string, path array<string>")
+    # Derived from a range, so Spark knows that it is one row and broadcasts it.
+    start = spark.range(1).select(F.lit(origin).alias("node"), F.array(F.lit(origin)).alias("path"))
     visited = start.select("node")
     frontier, hops = start, []
     for depth in range(1, max_depth + 1):
