@@ -72,16 +72,11 @@ def release_scratch(spark: SparkSession) -> int:
     return sum(1 for p in paths if (target := hadoop(p)).getFileSystem(conf).delete(target, True))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later stages restart from files, also after executors are lost."""
-    scratch_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write the frame as Parquet in the scratch folder and read it back.
 
-    Unlike a checkpoint this keeps column pruning and pushdown for whoever reads it again.
+    Later stages restart from the files, also after executors are lost. Unlike a checkpoint this
+    keeps column pruning and pushdown for whoever reads it again, and its size is known to Spark.
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)

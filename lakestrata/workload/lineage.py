@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lakestrata.functions import numeric as N
 from lakestrata.operators import lineage as L
 from lakestrata.operators import windows as W
 from lakestrata.workload import query

@@ -198,7 +198,6 @@ def test_scratch_folder_is_the_configured_one(spark):
     assert session.scratch_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
     df = session.materialize(spark.range(3), "probe")
     assert df.count() == 3 and session.scratch_dir(spark) in df.inputFiles()[0]
-    assert session.cut_lineage(spark.range(2)).count() == 2
     assert session.release_scratch(spark) >= 1
 
 
