@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
+from types import ModuleType
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +36,18 @@ def per_batch(rows: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
     return rows.mapInArrow(run, schema)
 
 
+def per_process(key: tuple, make: Callable):
+    """What ``make`` returns, made once per Python worker and kept for its later tasks.
+
+    For objects that take long to load and hold nothing but what can be computed again. Functions reach
+    the workers by value, with globals of their own in each task, so the keeper is a module by name.
+    """
+    kept = vars(sys.modules.setdefault("_lakestrata_kept", ModuleType("_lakestrata_kept"))).setdefault("kept", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 class Memo(dict):
     """A dictionary that computes what it lacks and starts again when it holds ``limit`` entries.
 
