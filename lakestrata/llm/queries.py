@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakestrata.llm import bpe, chat, quality, tokenfile, toxicity
+from lakestrata.llm import bpe, chat, minhash, packing, quality, tokenfile, toxicity
 from lakestrata.llm.shared import table
 from lakestrata.session import scratch_path
 
@@ -74,6 +74,30 @@ def op4_prefix_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
 
 
+@query(
+    sql=r"""
+    WITH RECURSIVE words AS (
+      SELECT doc_id, list_filter(regexp_split_to_array(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+    shingles AS (
+      SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS s
+      FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM words WHERE len(w) > 0)),
+    sizes AS (SELECT doc_id, COUNT(*) AS n FROM shingles GROUP BY doc_id),
+    links AS (
+      SELECT a.doc_id AS u, b.doc_id AS v FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+      JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+      GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * COUNT(*) >= 75 * (x.n + y.n - COUNT(*))),
+    reach AS (
+      SELECT doc_id AS u, doc_id AS v FROM documents
+      UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u)
+    SELECT d.doc_id, COALESCE(n, 0) AS n_shingles, MIN(r.v) AS component_id, d.doc_id = MIN(r.v) AS kept
+    FROM documents d LEFT JOIN sizes USING (doc_id) JOIN reach r ON r.u = d.doc_id GROUP BY d.doc_id, n
+    """
+)
+def op5_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.similar_documents(table(spark, folder, "documents"))
+
+
 @query
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
@@ -93,3 +117,8 @@ def op10_token_file(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     tokenfile.write(table(spark, folder, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return tokenfile.read_documents(spark, path)
+
+
+@query
+def op9_variable_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), packing.word_count(F.col("text")))
