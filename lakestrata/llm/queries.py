@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakestrata.llm import bpe, chat, minhash, packing, quality, tokenfile, toxicity
+from lakestrata.llm import bpe, chat, minhash, packing, quality, substrings, tokenfile, toxicity
 from lakestrata.llm.shared import table
 from lakestrata.session import scratch_path
 
@@ -68,6 +68,26 @@ def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    sql=r"""
+    WITH words AS (SELECT doc_id, list_filter(regexp_split_to_array(COALESCE(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+    windows AS (
+      SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS h
+      FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS i FROM words WHERE len(w) >= 50)),
+    firsts AS (SELECT h, MIN(doc_id) AS first FROM windows GROUP BY h),
+    gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 49)) AS i FROM windows JOIN firsts USING (h) WHERE first < doc_id),
+    lists AS (SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id),
+    kept AS (
+      SELECT doc_id, len(w) AS n_words, COALESCE(len(gone), 0) AS n_removed,
+             CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(generate_series(1, len(w)), lambda k: NOT list_contains(gone, k)), lambda k: w[k]) END AS w
+      FROM words LEFT JOIN lists USING (doc_id))
+    SELECT doc_id, n_words, n_removed, sha256(array_to_string(w, ' ')) AS kept_sha256 FROM kept
+    """
+)
+def op3_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.digests(table(spark, folder, "documents"))
+
+
 @query
 def op4_prefix_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
