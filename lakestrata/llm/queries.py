@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakestrata.llm import bpe, chat, minhash, packing, quality, substrings, tokenfile, toxicity
+from lakestrata.llm import bpe, chat, minhash, packing, pivots, postings, quality, substrings, tokenfile, toxicity
 from lakestrata.llm.shared import table
 from lakestrata.session import scratch_path
 
@@ -28,6 +28,11 @@ def query(fn=None, *, sql: str | None = None):
     return register(fn) if fn else register
 
 
+@query
+def op1_posting_lists(spark: SparkSession, folder: str) -> DataFrame:
+    return postings.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, top=20)
+
+
 @query(
     sql=r"""
     WITH turns AS (
@@ -125,6 +130,25 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+@query(
+    sql="""
+    WITH RECURSIVE parts AS (
+      SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    links AS (
+      SELECT a.vec_id AS u, b.vec_id AS v FROM parts a JOIN parts b
+      ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.93),
+    reach AS (SELECT vec_id AS u, vec_id AS v FROM embeddings UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u),
+    counts AS (SELECT u, COUNT(*) AS n FROM links GROUP BY u)
+    SELECT vec_id, COALESCE(n, 0) AS n_links, MIN(r.v) AS component_id, vec_id = MIN(r.v) AS kept
+    FROM embeddings e LEFT JOIN counts ON counts.u = vec_id JOIN reach r ON r.u = vec_id GROUP BY vec_id, n
+    """
+)
+def op7_pivot_permutations(spark: SparkSession, folder: str) -> DataFrame:
+    return pivots.near_duplicates(table(spark, folder, "embeddings"), least=0.93)
+
+
 @query
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
