@@ -70,10 +70,12 @@ class Index(NamedTuple):
     beam: int  # lists that a query looks at
 
     def search(self, rows: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """The nearest ``beam`` centroids of each row and their distances, by best-first search on the graph.
+        """The nearest ``beam`` centroids of each row and their distances, by best-first search on the graph."""
+        parts = [self._search(rows[at : at + 1024], beam) for at in range(0, len(rows), 1024)]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
-        All rows step together: the neighbours of the best so far join them, until nothing better turns up.
-        """
+    def _search(self, rows: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """All rows step together: the neighbours of the best so far join them, until nothing better turns up."""
         n, beam = len(self.centroids), min(beam, len(self.centroids))
         norms = (self.centroids**2).sum(1)
         spread = np.linspace(0, n - 1, min(n, max(beam, 16))).astype(int)
@@ -143,7 +145,7 @@ def nearest(vectors: DataFrame, queries: Column, top: int) -> DataFrame:
     squares = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     longest = math.sqrt(rows.agg(F.max(squares)).first()[0] or 0.0)
     picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).select("v")
-    sample = np.array([r["v"] for r in picked.collect()], float).reshape(-1, max(width, 1))
+    sample = matrix(picked.toArrow()["v"])
     kind = "list int, place int, id long, v array<double>"
     if not len(sample):
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
@@ -216,6 +218,7 @@ def nearest(vectors: DataFrame, queries: Column, top: int) -> DataFrame:
     found = dealt.mapInArrow(run, "query_id long, found array<struct<score:double,vec_id:long>>")
     order = lambda x: F.struct((-x["score"]).alias("low"), x["vec_id"].alias("vec_id"))
     merged = found.groupBy("query_id").agg(F.flatten(F.collect_list("found")).alias("found"))
-    ranked = F.slice(F.array_sort(F.array_distinct(F.transform("found", order))), 1, top)
+    # A vector is in COPIES lists at most, so the best of all are among so many entries.
+    ranked = F.slice(F.array_distinct(F.slice(F.array_sort(F.transform("found", order)), 1, top * COPIES)), 1, top)
     rows = merged.select("query_id", F.posexplode(ranked).alias("place", "x"))
     return rows.select("query_id", (F.col("place") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.low")).alias("score"))
