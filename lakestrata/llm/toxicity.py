@@ -73,8 +73,15 @@ def language_model(docs: DataFrame) -> np.ndarray:
     def count(batches):
         total = np.zeros(WIDTH**3, np.int64)
         for batch in batches:
-            # One pass for many texts: a break between two texts is an edge.
-            total += trigram_counts(b" ".join(t for t in raw(batch, "text") if t))
+            # One pass for some texts at a time: a break between two texts is an edge.
+            some, size = [], 0
+            for text in raw(batch, "text"):
+                some.append(text or b"")
+                size += len(some[-1])
+                if size > 1 << 18:
+                    total += trigram_counts(b" ".join(some))
+                    some, size = [], 0
+            total += trigram_counts(b" ".join(some))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
 
@@ -171,7 +178,7 @@ class Finder:
 
     def __init__(self, costs: np.ndarray, known: dict[str, int] | None = None):
         self.costs, self.known = costs, known
-        self.memo = Memo(self._token)
+        self.memo = Memo(self._token, 250_000)
 
     def _token(self, token: str) -> tuple:
         names = (f for w in restored_words(token, self.costs) for f in word_features(w))
