@@ -14,7 +14,6 @@ becomes a list of its pairs, and no link between two components is lost.
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +29,9 @@ SHINGLE = 5
 SIMILAR = 75  # per cent
 BANDS, ROWS = 32, 4  # two sets of similarity 0.75 miss each other in all bands once in 200,000 pairs
 SAMPLES = BANDS * ROWS
-BITS = 1024
+BINS = 2048  # one more sample for each bin of hash values, for the sketch only
+BITS = 2048
+TRIES = 4  # further members that the rest of a bucket is held against before it is paired
 BLOCK = 1_000  # members of a bucket that one task holds against the whole bucket
 HOT = 2_000  # members that one task confirms against their leader
 
@@ -84,26 +85,32 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return key
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
-    """Parities of how many samples fall on each bit, as 64-bit words."""
-    at = mix(samples + SEEDS) % np.uint64(BITS)
+def odd_sketch(found: np.ndarray) -> np.ndarray:
+    """Parities of how many samples fall on each bit, as 64-bit words; the samples are the least hash in each bin.
+
+    Two sets have the same sample in a bin, of those that either has one in, as often as they are similar.
+    """
+    low = np.full(BINS, np.iinfo(np.uint64).max, np.uint64)
+    mixed = mix(found ^ np.uint64(0x5851F42D4C957F2D))
+    np.minimum.at(low, (found % np.uint64(BINS)).astype(np.int64), mixed)
+    at = mix(low[low != np.iinfo(np.uint64).max]) % np.uint64(BITS)
     parity = (np.bincount(at.astype(np.int64), minlength=BITS) & 1).astype(np.uint8)
     return np.packbits(parity, bitorder="little").view(np.uint64)
 
 
-def estimate(bits: float) -> float:
-    """Similarity of two sets whose odd sketches differ in so many bits."""
-    return 1 + BITS / (4 * SAMPLES) * math.log(max(1e-9, 1 - 2 * bits / BITS))
-
+def most_bits(a: Column, b: Column) -> Column:
+    """Differing bits that the sketches of two similar sets of these sizes exceed about once in three million pairs.
 
-def most_bits() -> int:
-    """Differing bits that two similar sets exceed less than once in a hundred million pairs.
-
-    Six standard errors of the samples, and four of the bits that meet by chance.
+    A bin flips a bit for each set that has a sample in it, and none if it is the same one. Samples are drawn without
+    replacement, so small sets leave little to chance; five standard errors of that and of flips that meet.
     """
     j = SIMILAR / 100
-    flips = 2 * SAMPLES * (1 - j + 6 * math.sqrt(j * (1 - j) / SAMPLES))
-    return round(BITS / 2 * (1 - (1 - 2 / BITS) ** flips) + 8 * math.sqrt(flips * flips / (2 * BITS)))
+    union = (a + b) / (1 + j)
+    filled = lambda n: BINS * (1 - F.exp(-n / BINS))
+    bins = filled(union)
+    flips = filled(a) + filled(b) - 2 * j * bins
+    drawn = 4 * j * (1 - j) * bins * (1 - bins / union) * F.exp(-4 * flips / BITS)
+    return BITS / 2 * (1 - F.exp(-2 * flips / BITS)) + 5 * F.sqrt(drawn + flips * flips / (BITS / 2) + 1)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -119,7 +126,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 sizes.append(len(found))
                 digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                 samples = min_samples(found)
-                sketches.append(odd_sketch(samples).view(np.int64))
+                sketches.append(odd_sketch(found).view(np.int64))
                 bands.append(band_keys(samples).view(np.int64))
             lists = lambda rows: pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(rows)), len(rows[0])).cast(pa.list_(pa.int64()))
             columns = [batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists(sketches), lists(bands)]
@@ -138,7 +145,8 @@ def close_sketches(a: str, b: str) -> Column:
 def may_match(a: str, b: str) -> Column:
     """Sizes that allow the similarity, and sketches that are near enough."""
     sizes = F.least(f"{a}.n_shingles", f"{b}.n_shingles") * 100 >= F.greatest(f"{a}.n_shingles", f"{b}.n_shingles") * SIMILAR
-    return sizes & (close_sketches(f"{a}.sketch", f"{b}.sketch") <= most_bits())
+    most = most_bits(F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles"))
+    return sizes & (close_sketches(f"{a}.sketch", f"{b}.sketch") <= most)
 
 
 def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -197,17 +205,32 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     buckets = materialize(members.groupBy("key").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).where("n > 1"), "buckets")
     crowded = materialize(members.join(buckets, "key"), "crowded")
 
+    def best_of(stars: DataFrame) -> DataFrame:
+        """For each doc_id the leader with the nearest sketch, as a pair."""
+        tried = stars.join(sketches.alias("a"), "doc_id").join(sketches.withColumnRenamed("doc_id", "leader").alias("b"), "leader").where(may_match("a", "b"))
+        best = tried.groupBy("doc_id").agg(F.min(F.struct(close_sketches("a.sketch", "b.sketch").alias("bits"), "leader")).alias("best"))
+        return best.select(F.least("doc_id", "best.leader").alias("u"), F.greatest("doc_id", "best.leader").alias("v")).distinct()
+
+    def still_open(links: DataFrame) -> DataFrame:
+        """Members of buckets that hold several components, with these."""
+        found = components(links).withColumnRenamed("node", "doc_id")
+        placed = crowded.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+        return materialize(placed.join(mixed, "key"), "open")
+
     stars = crowded.where("doc_id <> leader").select("doc_id", "leader").distinct()
-    tried = stars.join(sketches.alias("a"), "doc_id").join(sketches.withColumnRenamed("doc_id", "leader").alias("b"), "leader").where(may_match("a", "b"))
-    best = tried.groupBy("doc_id").agg(F.min(F.struct(close_sketches("a.sketch", "b.sketch").alias("bits"), "leader")).alias("best"))
-    links = materialize(confirm(best.select(F.col("best.leader").alias("u"), F.col("doc_id").alias("v")), docs), "links")
-    found = materialize(components(links).withColumnRenamed("node", "doc_id"), "found")
+    links = materialize(confirm(best_of(stars), docs), "links")
+    # The smallest member need not be the one that a group has most in common with: some others, by hash.
+    rest = still_open(links)
+    some = rest.groupBy("key").agg(F.array_distinct(F.array(*(F.min_by("doc_id", F.xxhash64("doc_id", F.lit(i))) for i in range(TRIES)))).alias("some"))
+    stars = rest.join(some, "key").select("doc_id", "component", F.explode("some").alias("leader")).distinct()
+    of_leader = rest.select(F.col("doc_id").alias("leader"), F.col("component").alias("other")).distinct()
+    stars = stars.join(of_leader, "leader").where("component <> other").select("doc_id", "leader")
+    links = materialize(links.unionByName(confirm(best_of(stars), docs)).distinct(), "links")
 
-    placed = crowded.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     parts = F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")
-    open_rows = placed.join(mixed, "key").join(sketches, "doc_id").select("key", "doc_id", "component", "n_shingles", "sketch", parts)
-    open_rows = materialize(open_rows, "open")
+    open_rows = still_open(links).join(sketches, "doc_id").select("key", "doc_id", "component", "n_shingles", "sketch", parts)
+    open_rows = materialize(open_rows, "rest")
     left = open_rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     right = open_rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     meets = (F.col("a.key") == F.col("b.key")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.component") != F.col("b.component"))
