@@ -44,6 +44,8 @@ def search(catalog: DataFrame, keyword: str, filters: Mapping[str, str] | None =
     def hit(c: Column) -> Column:
         return F.lower(F.coalesce(c, F.lit(""))).contains(word)
 
+    # An entry without columns or tags is searched by the rest.
+    catalog = catalog.withColumns({c: F.coalesce(c, F.array().cast(catalog.schema[c].dataType)) for c in ("columns", "tags")})
     by_name = F.filter("columns", lambda c: hit(c["name"]))
     by_text = F.filter("columns", lambda c: hit(c["description"]))
     by_tag = F.filter("tags", hit)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,9 +33,6 @@ ALLOWED_TRANSITIONS = (
     ("DWD", "TMP"),
 )
 
-MAX_DEPTH = 20
-
-
 def _bare(c: Column) -> Column:
     """A table name without quotes, brackets or a closing mark around it."""
     return F.btrim(c, F.lit('`";(),'))
@@ -102,7 +100,7 @@ def trace(
     edges: DataFrame,
     origin: str,
     direction: str = "downstream",
-    max_depth: int = MAX_DEPTH,
+    max_depth: int | None = None,
     first: DataFrame | None = None,
     stored: bool = False,
 ) -> DataFrame:
@@ -113,7 +111,8 @@ def trace(
     to the scratch folder, so its size is known: a small one is broadcast and the edges, however
     many a table has, are not shuffled. Edges are read once per hop and may repeat. They are
     written out first, unless they are ``stored``: a plain table that is cheap to read again.
-    ``first`` replaces the edges of the first hop.
+    ``first`` replaces the edges of the first hop. Without ``max_depth`` the trace goes on until
+    nothing new is reached.
     """
     steps = _oriented(edges, direction)
     if not stored:
@@ -123,7 +122,7 @@ def trace(
     start = spark.range(1).select(F.lit(origin).alias("node"), F.array(F.lit(origin)).alias("path"))
     visited = start.select("node")
     frontier, hops = start, []
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         hop_edges = _oriented(first, direction) if depth == 1 and first is not None else steps
         frontier = _expand(frontier, visited, hop_edges, depth)
         if frontier.isEmpty():
@@ -139,7 +138,7 @@ def trace(
 
 
 def trace_from_column(
-    column_edges: DataFrame, table_edges: DataFrame, table: str, column: str, direction: str = "downstream", max_depth: int = MAX_DEPTH
+    column_edges: DataFrame, table_edges: DataFrame, table: str, column: str, direction: str = "downstream", max_depth: int | None = None
 ) -> DataFrame:
     """Trace that leaves ``table`` only through the edges of one column, then follows table edges.
 
@@ -151,7 +150,7 @@ def trace_from_column(
     return trace(table_edges, table, direction, max_depth, first)
 
 
-def trace_columns(column_edges: DataFrame, table: str, column: str, direction: str = "downstream", max_depth: int = MAX_DEPTH) -> DataFrame:
+def trace_columns(column_edges: DataFrame, table: str, column: str, direction: str = "downstream", max_depth: int | None = None) -> DataFrame:
     """Trace at column level all the way; nodes are ``table.column``."""
     edges = column_edges.select(
         F.concat_ws(".", "src_table", "src_column").alias("src"), F.concat_ws(".", "dst_table", "dst_column").alias("dst")
@@ -159,7 +158,7 @@ def trace_columns(column_edges: DataFrame, table: str, column: str, direction: s
     return trace(edges, f"{table}.{column}", direction, max_depth)
 
 
-def impact(edges: DataFrame, column_edges: DataFrame, table: str, max_depth: int = MAX_DEPTH) -> DataFrame:
+def impact(edges: DataFrame, column_edges: DataFrame, table: str, max_depth: int | None = None) -> DataFrame:
     """One row on what a change of ``table`` reaches: tables, greatest depth, direct and indirect counts, direct columns."""
     reached = trace(edges, table, "downstream", max_depth).select("depth", F.lit(0).alias("column"))
     columns = affected_columns(column_edges, table).select(F.lit(None).cast("int").alias("depth"), F.lit(1).alias("column"))
@@ -198,7 +197,7 @@ def upsert_edges(existing: DataFrame, new: DataFrame, order_column: str) -> Data
     return upsert(existing, new, keys, order_column)
 
 
-def _trim_loose_ends(edges: DataFrame, rounds: int) -> DataFrame:
+def _trim_loose_ends(edges: DataFrame, rounds: int | None) -> DataFrame:
     """Drop edges whose start nothing enters or whose end nothing leaves, over and over.
 
     Only an optimisation, so the number of rounds may be bounded: what stays for want of rounds
@@ -206,7 +205,7 @@ def _trim_loose_ends(edges: DataFrame, rounds: int) -> DataFrame:
     """
     edges = materialize(edges, "cycle-edges")
     size = edges.count()
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         entered = edges.select(F.col("dst").alias("src")).distinct()
         left = edges.select(F.col("src").alias("dst")).distinct()
         kept = edges.join(entered, "src", "left_semi").join(left, "dst", "left_semi").select("src", "dst")
@@ -218,8 +217,8 @@ def _trim_loose_ends(edges: DataFrame, rounds: int) -> DataFrame:
     return edges
 
 
-def cycles(edges: DataFrame, max_len: int) -> DataFrame:
-    """All simple cycles of up to ``max_len`` edges: (path, length), closed at both ends.
+def cycles(edges: DataFrame, max_len: int | None = None) -> DataFrame:
+    """All simple cycles, or those of up to ``max_len`` edges: (path, length), closed at both ends.
 
     A cycle is grown from its smallest node through greater nodes only, so it is found once. Nodes
     that cannot lie on a cycle are trimmed first. A self edge is the cycle [a, a].
@@ -229,7 +228,7 @@ def cycles(edges: DataFrame, max_len: int) -> DataFrame:
     onward = steps.where(F.col("src") != F.col("dst"))
     paths = onward.where(F.col("dst") > F.col("src")).select(F.array("src", "dst").alias("path"))
     result = self_loops
-    for length in range(2, max_len + 1):
+    for length in count(2) if max_len is None else range(2, max_len + 1):
         last, first = F.element_at("path", -1), F.element_at("path", 1)
         step = paths.join(onward, last == onward["src"]).where(
             (F.col("dst") >= first) & ((F.col("dst") == first) | ~F.array_contains("path", F.col("dst")))

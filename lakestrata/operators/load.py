@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lakestrata.operators.windows import keep_latest, orderable
-from lakestrata.session import materialize
+from lakestrata.session import materialize, metric
 
 
 def latest_source(source: DataFrame, keys: Sequence[str], order_column: str | None = None) -> DataFrame:
@@ -105,13 +105,20 @@ def overwrite_partitions(df: DataFrame, table: str, partition: str, values: Sequ
     """
     spark = df.sparkSession
     target = spark.table(table)
-    rows = df.where(F.col(partition).isin(list(values))).select(*target.columns)
+    kind = target.schema[partition].dataType
+    # Values as the partition's type has them: 1 and '01' are the same int partition.
+    wanted = spark.createDataFrame([(str(v),) for v in values], "v string").select(F.col("v").try_cast(kind).cast("string").alias("v"))
+    texts = {r["v"] for r in wanted.collect()}
+    if None in texts:
+        raise ValueError(f"a value is not of the partition's type {kind.simpleString()}: {list(values)}")
+    rows = df.where(F.col(partition).try_cast(kind).cast("string").isin(list(texts))).select(*target.columns)
     # The write itself reports which of the listed partitions it met.
     seen = Observation()
-    observed = rows.observe(seen, F.collect_set(F.col(partition).cast("string")).alias("met"))
+    observed = rows.observe(seen, F.collect_set(F.col(partition).try_cast(kind).cast("string")).alias("met"))
     observed.write.option("partitionOverwriteMode", "dynamic").insertInto(table, overwrite=True)
-    for value in set(values) - set(seen.get["met"]):
-        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({partition} = '{value}')")
+    for value in texts - set(metric(seen, "met", ())):
+        literal = value.replace("\\", "\\\\").replace("'", "\\'")
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({partition} = '{literal}')")
 
 
 def swap_table(df: DataFrame, table: str) -> None:
@@ -164,6 +171,8 @@ def upsert_partitions(
     values = touched_partitions(source, partition)
     if not values:
         return
+    if None in values:
+        raise ValueError("a change has no partition value, so its old row can't be found")
     stored = spark.read.schema(source.schema).parquet(path) if _exists(spark, path) else source.where(F.lit(False))
     target = stored.where(F.col(partition).isin(values)).select(*source.columns)
     if newest_wins:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakestrata.functions.text import count_pattern, present
-from lakestrata.sources.write import IDENTIFIER, READ_ONLY_OPENINGS
+from lakestrata.sources.write import IDENTIFIER, QUOTED, READ_ONLY_OPENINGS, WRITES
 
 # DDL statements that may run.
 DDL_OPENINGS = (
@@ -129,8 +129,9 @@ def safety(log: DataFrame) -> DataFrame:
             test = test | upper.startswith(opening)
         return test
 
-    several = F.regexp_replace(text, ";+$", "").contains(";")
-    read_only = opens_with(READ_ONLY_OPENINGS)
+    bare = F.regexp_replace(text, QUOTED, " '' ")
+    several = F.regexp_replace(bare, r"[;\s]+$", "").contains(";")
+    read_only = opens_with(READ_ONLY_OPENINGS) & ~bare.rlike(WRITES)
     return log.select(
         "stmt_id",
         read_only.alias("read_only"),

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lakestrata.operators.transform import fill_defaults, rename_snake, standardise_types
 from lakestrata.operators.windows import keep_latest
+from lakestrata.session import metric
 
 
 def to_ods(source: DataFrame, etl_time: str, bizdate: str | Column, source_system: str | None = None) -> DataFrame:
@@ -89,7 +90,8 @@ def chain(source: DataFrame, plan: LayerPlan, etl_time: str, bizdate: str | Colu
 def run_day(source: DataFrame, plan: LayerPlan, etl_time: str, bizdate: str, folder: str) -> dict[str, str]:
     """Run one date and write every layer; each layer reads back the layer below.
 
-    Only the partition of ``bizdate`` is replaced, so a rerun is safe. Returns the layer paths.
+    Only the partition of ``bizdate`` is replaced, and removed when the run has no rows for it, so a
+    rerun is safe. Returns the layer paths.
     """
     from lakestrata.sources.write import LAYER_STORAGE, write_layer
 
@@ -100,14 +102,22 @@ def run_day(source: DataFrame, plan: LayerPlan, etl_time: str, bizdate: str, fol
         reader = spark.read.format(LAYER_STORAGE[layer].file_format).schema(like.schema)
         return on_date(reader.load(paths[layer]), bizdate)
 
+    def written(layer: str, rows: DataFrame, write: Callable[[DataFrame], None]) -> None:
+        seen = Observation()
+        write(rows.observe(seen, F.count(F.lit(1)).alias("n")))
+        if not metric(seen, "n"):
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{paths[layer]}/dt={bizdate}")
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
     ods = to_ods(source, etl_time, bizdate)
-    write_layer(ods, "ODS", paths["ODS"])
+    written("ODS", ods, lambda rows: write_layer(rows, "ODS", paths["ODS"]))
     dwd = to_dwd(stored("ODS", ods), plan.keys, plan.order_column, plan.types, plan.defaults)
-    write_layer(dwd, "DWD", paths["DWD"])
+    written("DWD", dwd, lambda rows: write_layer(rows, "DWD", paths["DWD"]))
     dws = to_dws(stored("DWD", dwd), plan.dimensions, plan.metrics)
-    write_layer(dws, "DWS", paths["DWS"])
+    written("DWS", dws, lambda rows: write_layer(rows, "DWS", paths["DWS"]))
     ads = to_ads(stored("DWS", dws), plan.report)
-    ads.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(paths["ADS"])
+    daily = lambda rows: rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(paths["ADS"])
+    written("ADS", ads, daily)
     return paths
 
 

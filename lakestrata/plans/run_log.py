@@ -9,6 +9,8 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from lakestrata.session import metric
+
 RUN_SCHEMA = (
     "step string, status string, rows_read bigint, rows_written bigint, started_at timestamp, "
     "seconds double, error string"
@@ -30,8 +32,10 @@ def run_step(
     try:
         result = transform(source.observe(read, F.count(F.lit(1)).alias("n")))
         write(result.observe(written, F.count(F.lit(1)).alias("n")))
-        n_read, n_written = read.get["n"], written.get["n"]
     except Exception as failure:  # noqa: BLE001 - the record is the report
-        status, error = "failed", str(failure).splitlines()[0][:500]
+        status, error = "failed", str(failure)
+    else:
+        # A step that yields nothing may be pruned with its observers: no metric then means no rows.
+        n_read, n_written = (metric(o, "n") for o in (read, written))
     row = (step, status, n_read, n_written, started, time.monotonic() - clock, error)
     return source.sparkSession.createDataFrame([row], RUN_SCHEMA)

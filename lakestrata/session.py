@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -54,6 +55,14 @@ def scratch_dir(spark: SparkSession) -> str:
     return fallback
 
 
+def metric(seen: Observation, name: str, missing: object = 0) -> object:
+    """A finished observation's metric; ``missing`` when Spark pruned the observed rows and has none."""
+    try:
+        return seen.get.get(name, missing)
+    except Py4JJavaError:
+        return missing
+
+
 _made: list[str] = []
 
 

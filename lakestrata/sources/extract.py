@@ -92,13 +92,16 @@ def extract_query(spark: SparkSession, query: str, **arguments) -> DataFrame:
 def extract_incremental(source: DataFrame, column: str, last: object | None) -> tuple[DataFrame, DataFrame]:
     """Rows above the last watermark, and a one-row frame with the next one.
 
-    The first run passes ``None`` and takes everything. When nothing new arrived the watermark
-    stays where it was.
+    The watermark is settled first and bounds the rows, so what arrives in between is left to
+    the next run. The first run passes ``None`` and takes everything, rows without a mark included. When
+    nothing new arrived the watermark stays where it was.
     """
     fresh = source if last is None else source.where(F.col(column) > F.lit(last))
     kind = source.schema[column].dataType
-    mark = fresh.agg(F.coalesce(F.max(column), F.lit(last).cast(kind)).alias("watermark"))
-    return fresh, mark
+    settled = fresh.agg(F.coalesce(F.max(column), F.lit(last).cast(kind)).alias("watermark")).collect()
+    mark = source.sparkSession.createDataFrame(settled, T.StructType([T.StructField("watermark", kind)]))
+    below = F.col(column) <= F.lit(settled[0][0]).cast(kind)
+    return fresh.where(F.col(column).isNull() | below), mark
 
 
 def extract_snapshot(source: DataFrame, bizdate: str, partition: str = "dt") -> DataFrame:
@@ -107,11 +110,15 @@ def extract_snapshot(source: DataFrame, bizdate: str, partition: str = "dt") ->
 
 
 def extract_cdc(
-    log: DataFrame, keys: Sequence[str], sequence: str, operation: str, deleted: Sequence[str] = ("D", "d", "delete")
+    log: DataFrame, keys: Sequence[str], sequence: str, operation: str, deleted: Sequence[str] = ("d", "delete")
 ) -> DataFrame:
-    """Current state from a change log: the last change per key, without deleted keys."""
+    """Current state from a change log: the last change per key, without deleted keys.
+
+    Operations are compared in lower case; a change without one is no deletion.
+    """
     latest = keep_latest(log, keys, sequence)
-    return latest.where(~F.col(operation).isin(*deleted)).drop(operation, sequence)
+    gone = F.lower(F.col(operation)).isin(*(d.lower() for d in deleted))
+    return latest.where(~F.coalesce(gone, F.lit(False))).drop(operation, sequence)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -32,6 +32,9 @@ LAYER_STORAGE = {
 IDENTIFIER = r"^[A-Za-z_][A-Za-z0-9_]{0,127}$"
 READ_ONLY_OPENINGS = ("SELECT", "WITH")
 
+QUOTED = r"""(?s)'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|/\*.*?\*/"""
+WRITES = r"(?is)\b(?:INSERT\s+(?:INTO|OVERWRITE)|MERGE\s+(?:WITH\s+SCHEMA\s+EVOLUTION\s+)?INTO|DELETE\s+FROM|UPDATE\s+\S+\s+(?:AS\s+)?(?:\S+\s+)?SET)\b"
+
 
 def check_identifier(name: str) -> str:
     if not re.match(IDENTIFIER, name):
@@ -40,12 +43,18 @@ def check_identifier(name: str) -> str:
 
 
 def check_read_only(sql: str) -> str:
-    """The statement without a closing semicolon; anything but one SELECT or WITH is refused."""
+    """The statement without a closing semicolon; anything but one SELECT or WITH is refused.
+
+    Literals, quoted names and comments do not count, and a WITH list may not lead to a write.
+    """
     statement = sql.strip().rstrip(";").strip()
+    bare = re.sub(QUOTED, " '' ", statement)
     if not statement.upper().startswith(READ_ONLY_OPENINGS):
         raise ValueError("only SELECT or WITH is accepted")
-    if ";" in statement:
+    if ";" in bare:
         raise ValueError("only a single statement is accepted")
+    if re.search(WRITES, bare):
+        raise ValueError("a statement that writes is not accepted")
     return statement
 
 

@@ -190,13 +190,13 @@ _STEPS = """
     walk AS (SELECT [src, dst] AS path, src AS first, dst AS last, 1 AS n FROM e WHERE dst >= src
              UNION ALL
              SELECT list_append(path, e.dst), first, e.dst, n + 1 FROM walk JOIN e ON e.src = walk.last
-             WHERE n < 4 AND walk.last <> walk.first AND e.src <> e.dst AND e.dst >= first
+             WHERE walk.last <> walk.first AND e.src <> e.dst AND e.dst >= first
                AND (e.dst = first OR NOT list_contains(path, e.dst)))
     SELECT array_to_string(path, ' -> ') AS cycle, CAST(n AS BIGINT) AS length FROM walk WHERE last = first
     """,
 )
 def lineage_cycles(t):
-    found = L.cycles(_transitions(t), 4)
+    found = L.cycles(_transitions(t))
     return found.select(F.array_join("path", " -> ").alias("cycle"), F.col("length").cast("long").alias("length"))
 
 

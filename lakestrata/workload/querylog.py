@@ -95,10 +95,12 @@ def statement_complexity(t):
     "L3 P10",
     f"""
     WITH {_LOG}
-    SELECT stmt_id, starts_with(upper(sql), 'SELECT') OR starts_with(upper(sql), 'WITH') AS read_only,
-           contains(rtrim(sql, ';'), ';') AS multi_statement, starts_with(upper(sql), 'CREATE TABLE') AS permitted_ddl,
-           (starts_with(upper(sql), 'SELECT') OR starts_with(upper(sql), 'WITH')) AND NOT contains(rtrim(sql, ';'), ';') AS runs_as_query
-    FROM log
+    SELECT stmt_id, opens AND NOT writes AS read_only, several AS multi_statement,
+           starts_with(upper(sql), 'CREATE TABLE') AS permitted_ddl, opens AND NOT writes AND NOT several AS runs_as_query
+    FROM (SELECT stmt_id, sql, starts_with(upper(sql), 'SELECT') OR starts_with(upper(sql), 'WITH') AS opens,
+                 contains(rtrim(bare, ';'), ';') AS several,
+                 regexp_matches(upper(bare), 'INSERT (INTO|OVERWRITE)|MERGE INTO|DELETE FROM|UPDATE .* SET ') AS writes
+          FROM (SELECT *, regexp_replace(sql, '''[^'']*''', '''''', 'g') AS bare FROM log))
     """,
 )
 def statement_safety(t):
