@@ -30,6 +30,7 @@ TRIALS = 256  # sampled queries that the ratio is chosen with
 AIM = 0.97
 COPIES, BORDER = 4, 1.06  # lists of a vector at most, and how much farther the others may be
 DEGREE = 24  # neighbours of a centroid in the graph
+LEAST_LISTS = 8  # lists that a query reads in any case: a tight cluster may fill a list by itself
 LIST = 2_000  # vectors of a list that are read together
 
 
@@ -136,12 +137,12 @@ def nearest(vectors: DataFrame, queries: Column, top: int) -> DataFrame:
     """query_id, rank, vec_id and score of the ``top`` nearest found for each row that ``queries`` selects.
 
     Vectors that are null, zero, or hold null or non-finite components take no part, nor do those with a null
-    vec_id or of another length than most. Repeated rows count once; of rows that share a vec_id any may be found, the
-    best counts, and a row is no neighbour of its own vec_id. Ties go to the smaller vec_id. Other columns are ignored.
+    vec_id or of another length than most. Repeated rows count once, of rows that share a vec_id the one with the
+    smallest components does, and a row is no neighbour of its own vec_id. Ties go to the smaller vec_id. Other columns are ignored.
     """
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     width = usual_width(rows, "v")
-    rows = rows.where(F.size("v") == width)
+    rows = rows.where(F.size("v") == width).groupBy("vec_id").agg(F.min("v").alias("v"))
     squares = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     longest = math.sqrt(rows.agg(F.max(squares)).first()[0] or 0.0)
     picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).select("v")
@@ -159,6 +160,8 @@ def nearest(vectors: DataFrame, queries: Column, top: int) -> DataFrame:
                 points[:, -1] = 0
             found, far = index.search(points, index.beam if query else COPIES)
             keep = far <= (index.ratio if query else BORDER) * far[:, :1]
+            if query:
+                keep[:, :LEAST_LISTS] = True
             i, k = np.nonzero(keep)
             taken = pa.array(i)
             columns = [pa.array(found[i, k], pa.int32()), pa.array(np.full(len(i), int(query)), pa.int32()), batch["vec_id"].take(taken), batch["v"].take(taken)]

@@ -33,7 +33,7 @@ LOOKALIKES = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l",
 }
 SEPARATORS = set(" .-_*~'^,:;/\\")
-LOOK_COST, DROP_COST, KEEP_COST, SQUEEZE_COST = 0.7, 0.4, 4.0, 0.4
+LOOK_COST, DROP_COST, KEEP_COST, SQUEEZE_COST = 0.7, 0.4, 6.0, 0.4
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _MIXED = re.compile(r"[^\W\d_][^\w\s]?[0-9@$!|+(€£]+[^\W\d_]|^[0-9@$!|(€£][^\W\d_]{2}|[^\W\d_]{2}[0-9@$!|€£]$|[^\W\d_][0-9@$!|+(€£]{1,3}[^\W\d_]?$")

@@ -27,6 +27,8 @@ def matrix(column: pa.Array) -> np.ndarray:
     """A column of lists of one length as rows in double precision."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    if not len(column):
+        return np.zeros((0, 0))
     values = column.flatten().to_numpy(zero_copy_only=False).astype(float)
     return values.reshape(len(column), -1)
 
