@@ -37,7 +37,7 @@ LOOK_COST, DROP_COST, KEEP_COST, SQUEEZE_COST = 0.7, 0.4, 6.0, 0.4
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _MIXED = re.compile(r"[^\W\d_][^\w\s]?[0-9@$!|+(€£]+[^\W\d_]|^[0-9@$!|(€£][^\W\d_]{2}|[^\W\d_]{2}[0-9@$!|€£]$|[^\W\d_][0-9@$!|+(€£]{1,3}[^\W\d_]?$")
-_SPLIT = re.compile(r"[^\W\d_][.\-_*~'^,:;/\\]+[^\W\d_][.\-_*~'^,:;/\\]+[^\W\d_]|[^\W\d_][*]+[^\W\d_]")
+_SPLIT = re.compile(r"[^\W\d_][\s.\-_*~'^,:;/\\]+[^\W\d_][\s.\-_*~'^,:;/\\]+[^\W\d_]|[^\W\d_][*]+[^\W\d_]")
 _RUN = re.compile(r"([^\W\d_])\1\1")
 _EDGE_NOISE = re.compile(r"^([^\w\s])\1+|([^\w\s])\2+$|[.,;:?]+$")
 
