@@ -32,7 +32,7 @@ SAMPLES = BANDS * ROWS
 BINS = 2048  # one more sample for each bin of hash values, for the sketch only
 BITS = 2048
 TRIES = 4  # further members that the rest of a bucket is held against before it is paired
-BLOCK = 1_000  # members of a bucket that one task holds against the whole bucket
+BLOCK = 2_000  # members of a bucket that one task holds against the whole bucket, which it reads as a stream
 HOT = 2_000  # members that one task confirms against their leader
 
 
@@ -98,19 +98,20 @@ def odd_sketch(found: np.ndarray) -> np.ndarray:
     return np.packbits(parity, bitorder="little").view(np.uint64)
 
 
-def most_bits(a: Column, b: Column) -> Column:
+def most_bits(a, b, m=F):
     """Differing bits that the sketches of two similar sets of these sizes exceed about once in three million pairs.
 
     A bin flips a bit for each set that has a sample in it, and none if it is the same one. Samples are drawn without
     replacement, so small sets leave little to chance; five standard errors of that and of flips that meet.
+    Takes columns, or arrays with numpy for ``m``.
     """
     j = SIMILAR / 100
     union = (a + b) / (1 + j)
-    filled = lambda n: BINS * (1 - F.exp(-n / BINS))
+    filled = lambda n: BINS * (1 - m.exp(-n / BINS))
     bins = filled(union)
     flips = filled(a) + filled(b) - 2 * j * bins
-    drawn = 4 * j * (1 - j) * bins * (1 - bins / union) * F.exp(-4 * flips / BITS)
-    return BITS / 2 * (1 - F.exp(-2 * flips / BITS)) + 5 * F.sqrt(drawn + flips * flips / (BITS / 2) + 1)
+    drawn = 4 * j * (1 - j) * bins * (1 - bins / union) * m.exp(-4 * flips / BITS)
+    return BITS / 2 * (1 - m.exp(-2 * flips / BITS)) + 5 * m.sqrt(drawn + flips * flips / (BITS / 2) + 1)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -188,6 +189,54 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
+def pairs_across(rows: DataFrame) -> DataFrame:
+    """Pairs (u, v) of one bucket (key) and two components whose sketches allow the similarity, each in one bucket only.
+
+    A bucket is dealt to tasks in blocks of bounded size; a task holds its block and reads the bucket as a
+    stream. Two rows of different components leave every bucket that they share mixed, so all of those are
+    in ``rows``, and the pair is named by the first of them.
+    """
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    columns = "key", "doc_id", "component", "n_shingles", "sketch", "bands"
+    held = rows.select(*columns, F.pmod(F.xxhash64("doc_id"), parts).cast("int").alias("part"), F.lit(0).alias("place"))
+    read = rows.select(*columns, F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(1).alias("place"))
+    dealt = held.unionByName(read).repartition("key", "part").sortWithinPartitions("key", "part", "place")
+
+    def numbers(column: pa.Array) -> np.ndarray:
+        return column.to_numpy(zero_copy_only=False)
+
+    def table(column: pa.ListArray) -> np.ndarray:
+        return numbers(column.flatten()).reshape(len(column), -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, block, kept = None, [], None
+        for batch in batches:
+            key, part, place, ids, component, sizes = (numbers(batch[c]) for c in ("key", "part", "place", "doc_id", "component", "n_shingles"))
+            sketches, bands = table(batch["sketch"]).view(np.uint64), table(batch["bands"])
+            us, vs = [], []
+            for i in range(len(ids)):
+                if (key[i], part[i]) != group:
+                    group, block, kept = (key[i], part[i]), [], None
+                if not place[i]:
+                    block.append((ids[i], component[i], sizes[i], sketches[i], bands[i]))
+                    continue
+                if not block:
+                    continue
+                if kept is None:
+                    kept = [np.array(c) for c in zip(*block)]
+                low, high = np.minimum(kept[2], sizes[i]), np.maximum(kept[2], sizes[i])
+                at = np.flatnonzero((kept[0] < ids[i]) & (kept[1] != component[i]) & (low * 100 >= high * SIMILAR))
+                bits = np.bitwise_count(kept[3][at] ^ sketches[i]).sum(1, dtype=np.int64)
+                at = at[bits <= most_bits(kept[2][at], sizes[i], np)]
+                shared = kept[4][at] == bands[i]
+                at = at[bands[i][shared.argmax(1)] == key[i]]
+                us.append(kept[0][at])
+                vs.append(np.full(len(at), ids[i]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (us, vs)], ["u", "v"])
+
+    return dealt.mapInArrow(run, "u long, v long").distinct()
+
+
 def similar_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row.
 
@@ -228,14 +277,9 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     stars = stars.join(of_leader, "leader").where("component <> other").select("doc_id", "leader")
     links = materialize(links.unionByName(confirm(best_of(stars), docs)).distinct(), "links")
 
-    parts = F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")
-    open_rows = still_open(links).join(sketches, "doc_id").select("key", "doc_id", "component", "n_shingles", "sketch", parts)
-    open_rows = materialize(open_rows, "rest")
-    left = open_rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    right = open_rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    meets = (F.col("a.key") == F.col("b.key")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.component") != F.col("b.component"))
-    across = left.alias("a").join(right.alias("b"), meets & may_match("a", "b")).select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")).distinct()
-    more = confirm(across, docs)
+    weighed = classes.select("doc_id", "n_shingles", "sketch", "bands")
+    open_rows = still_open(links).select("key", "doc_id", "component", "n").join(weighed, "doc_id")
+    more = confirm(pairs_across(open_rows), docs)
 
     linked = components(links.unionByName(more)).withColumnRenamed("node", "doc_id")
     named = materialize(classes.select("digest", "doc_id").join(linked, "doc_id", "left").select("digest", F.coalesce("component", "doc_id").alias("component")), "named")
