@@ -107,6 +107,19 @@ def test_minhash_links(spark, docs, none):
     assert minhash.similar_documents(none).count() == 0
 
 
+def test_minhash_blocks_pair_a_bucket_across_components(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 7)
+    rng = random.Random(3)
+    texts = [" ".join("other" if rng.random() < 0.03 else w for w in BASE.split()) for _ in range(40)]
+    rows = minhash.signatures(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).withColumn("component", F.col("doc_id") % 9)
+    crowd = rows.select("doc_id", F.explode("bands").alias("key")).groupBy("key").agg(F.collect_list("doc_id").alias("ids"), F.count("*").alias("n")).where("n > 1")
+    opened = crowd.select("key", "n", F.explode("ids").alias("doc_id")).join(rows, "doc_id")
+    found = sorted(map(tuple, minhash.pairs_across(opened).collect()))
+    meets = (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.component") != F.col("b.component")) & F.arrays_overlap("a.bands", "b.bands")
+    plain = rows.alias("a").join(rows.alias("b"), meets & minhash.may_match("a", "b")).select("a.doc_id", "b.doc_id")
+    assert found == sorted(map(tuple, plain.collect())) and len(found) > 20
+
+
 def test_automaton_matches_every_window():
     for _ in range(40):
         texts = [random.choices("ab", k=random.randint(1, 40)) for _ in range(3)]
