@@ -15,21 +15,6 @@ DDL_OPENINGS = (
     "DROP SCHEMA", "ALTER TABLE", "ALTER VIEW", "COMMENT ON",
 )
 
-# Operation labels in output order, each with the words or the feature that shows it.
-OPERATIONS = (
-    ("aggregation", "GROUP BY"),
-    ("sorting", "ORDER BY"),
-    ("deduplication", "DISTINCT"),
-    ("join", "feature: join_count > 0"),
-    ("subquery", "feature: subquery_count > 0"),
-    ("window_function", "feature: has_window"),
-    ("cte", "feature: has_cte"),
-    ("union", "UNION"),
-    ("pattern_match", r"pattern: \bLIKE\b"),
-    ("existence_check", "EXISTS"),
-    ("conditional_logic", "CASE"),
-)
-
 # Upper score bound, class name, cost per point and cost limit.
 COMPLEXITY = (
     (5, "simple", 5, 20),
@@ -54,17 +39,21 @@ def features(log: DataFrame) -> DataFrame:
         upper.rlike(r"\bOVER\s*\(").alias("has_window"),
         F.array_sort(F.array_distinct(F.regexp_extract_all("sql", F.lit(r"(?i)(?:FROM|JOIN)\s+([a-zA-Z_][\w.]*)"), F.lit(1)))).alias("tables"),
     )
-    seen = [F.when(_holds(upper, test), label) for label, test in OPERATIONS]
-    operations = present(F.array(*seen))
-    return counted.withColumn("operations", operations)
-
-
-def _holds(upper: Column, test: str) -> Column:
-    if test.startswith("feature: "):
-        return F.expr(test.removeprefix("feature: "))
-    if test.startswith("pattern: "):
-        return upper.rlike(test.removeprefix("pattern: "))
-    return upper.contains(test)
+    # Operation labels, in output order.
+    seen = (
+        ("aggregation", upper.contains("GROUP BY")),
+        ("sorting", upper.contains("ORDER BY")),
+        ("deduplication", upper.contains("DISTINCT")),
+        ("join", F.col("join_count") > 0),
+        ("subquery", F.col("subquery_count") > 0),
+        ("window_function", F.col("has_window")),
+        ("cte", F.col("has_cte")),
+        ("union", upper.contains("UNION")),
+        ("pattern_match", upper.rlike(r"\bLIKE\b")),
+        ("existence_check", upper.contains("EXISTS")),
+        ("conditional_logic", upper.contains("CASE")),
+    )
+    return counted.withColumn("operations", present(F.array(*(F.when(test, label) for label, test in seen))))
 
 
 def complexity(featured: DataFrame) -> DataFrame:

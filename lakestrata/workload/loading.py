@@ -261,3 +261,30 @@ def generated_sequence(t):
 def generated_random(t):
     """As many random rows as there are customers, with the columns of that table."""
     return G.random_rows(t.spark, t.customer.schema, t.customer.count())
+
+
+@query(
+    "generated_random_facts",
+    "S19",
+    """
+    SELECT COUNT(*) AS n, COUNT(*) AS n_keys, 1::BIGINT AS least_key, COUNT(*) AS greatest_key,
+           0::BIGINT AS n_nulls, 0::BIGINT AS n_shapeless, 0::BIGINT AS n_changed FROM customer
+    """,
+)
+def generated_random_facts(t):
+    """What must hold of any seed: keys count up, names and segments have their shapes, other partitions make the same rows."""
+    n = t.customer.count()
+    made = G.random_rows(t.spark, t.customer.schema, n)
+    again = G.random_rows(t.spark, t.customer.schema, n).repartition(7, "c_custkey")
+    null = F.greatest(*(F.col(c).isNull().cast("long") for c in made.columns))
+    shapeless = ~F.col("c_name").rlike("^[A-Z][a-z]+ [A-Z][a-z]+$") | ~F.col("c_mktsegment").rlike("^[A-Z][0-9]{2}$")
+    facts = made.agg(
+        F.count("*").alias("n"),
+        F.count_distinct("c_custkey").alias("n_keys"),
+        F.coalesce(F.min("c_custkey"), F.lit(1)).cast("long").alias("least_key"),
+        F.coalesce(F.max("c_custkey"), F.lit(0)).cast("long").alias("greatest_key"),
+        F.coalesce(F.sum(null), F.lit(0)).alias("n_nulls"),
+        F.count_if(shapeless).alias("n_shapeless"),
+    )
+    changed = made.exceptAll(again).agg(F.count("*").alias("n_changed"))
+    return facts.join(changed, F.lit(True))

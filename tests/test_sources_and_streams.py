@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,12 +99,29 @@ def test_random_rows_are_typed_seeded_and_independent_of_partitions(spark):
     got = df.collect()
     assert sorted(r["id"] for r in got) == list(range(1, 201))
     assert all(None not in tuple(r) for r in got)
-    assert all(0 <= r["tiny"] <= 127 and 0 <= r["small"] <= 32000 and 4 <= len(r["raw"]) <= 32 for r in got)
-    assert all(dt.date(2020, 1, 1) <= r["day"] <= dt.date(2025, 12, 31) for r in got)
-    assert all(dt.datetime(2020, 1, 1) <= r["at"] <= dt.datetime(2025, 12, 31, 23, 59, 59) for r in got)
-    assert all(r["status"] in G.STATUSES and r["type_code"].isupper() and len(r["type_code"]) == 3 for r in got)
+    assert all(0 <= r["tiny"] < 100 and 0 <= r["small"] < 10_000 and len(r["raw"]) == 32 for r in got)
+    first_day = dt.date.fromisoformat(G.FIRST_DAY)
+    assert all(0 <= (r["day"] - first_day).days < G.DAYS and 0 <= (r["at"].date() - first_day).days < G.DAYS for r in got)
+    assert max(r["wide"] for r in got) > 10**36 and max(r["money"] for r in got) > 10**7
+    assert all(r["status"] in G.STATES and r["type_code"].isupper() and len(r["type_code"]) == 3 for r in got)
     assert len({r["email"] for r in got}) > 50 and all("@" in r["email"] for r in got)
-    assert G.random_rows(spark, SCHEMA, 0).count() == 1
+    assert all(set(json.loads(r["js"])) == {"word", "number"} for r in got)
+    assert G.random_rows(spark, SCHEMA, 0).count() == 0
+
+
+def test_random_rows_of_keys_and_nested_types(spark):
+    schema = T.StructType(
+        [
+            T.StructField("order_id", T.LongType()),
+            T.StructField("tags", T.ArrayType(T.StringType())),
+            T.StructField("place", T.StructType([T.StructField("x", T.DoubleType()), T.StructField("city", T.StringType())])),
+        ]
+    )
+    got = G.random_rows(spark, schema, 50).collect()
+    assert sorted(r["order_id"] for r in got) == list(range(1, 51))
+    assert {len(r["tags"]) for r in got} == {1, 2, 3} and all(None not in tuple(r["place"]) for r in got)
+    with pytest.raises(TypeError, match="no random values"):
+        G.random_rows(spark, T.StructType([T.StructField("m", T.MapType(T.StringType(), T.StringType()))]), 1)
 
 
 def test_run_record_of_success_and_failure(spark, tmp_path):
