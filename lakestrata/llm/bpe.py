@@ -163,7 +163,7 @@ class Encoder:
     The table maps a prefix to its last token and to the entry of what stands before that token.
     """
 
-    SHORT, PREFIXES, WORDS = 48, 400_000, 500_000
+    SHORT, PREFIXES, WORDS = 48, 400_000, 800_000
 
     def __init__(self, ranks: Ranks, pattern: str):
         self.ranks = ranks

@@ -49,32 +49,36 @@ def per_process(key: tuple, make: Callable):
 
 
 class Memo(dict):
-    """A dictionary that computes what it lacks and starts again when it holds ``limit`` entries.
+    """A dictionary that computes what it lacks and holds about ``limit`` entries.
 
-    It saves work only: an entry that was dropped is computed again with the same result.
+    When it is half full it becomes the older half, and what is asked for again comes back from there, so
+    frequent keys stay. It saves work only: an entry that was dropped is computed again with the same result.
     """
 
     def __init__(self, compute: Callable, limit: int = 400_000):
         super().__init__()
-        self.compute, self.limit = compute, limit
+        self.compute, self.limit, self.older = compute, limit, {}
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
+        value = self.older.get(key)
+        if value is None:
+            value = self.compute(key)
+        if 2 * len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.compute(key)
+        self[key] = value
         return value
 
 
 def components(edges: DataFrame) -> DataFrame:
     """The smallest node that each node of ``edges`` (u, v: two nodes of a link) can reach, as (node, component).
 
-    Large-star and small-star steps in turn, each over the whole edge list, until no edge moves. A
+    Large-star and small-star steps in turn, each over the whole edge list, until all edges form stars. A
     minimum per node is combined before it is shuffled, and the join that brings it back can be split
     when one node has a large share of all links. Each round is written to the shared scratch
     folder, so a lost executor costs that round at most. Nodes without a link to another node are not listed.
     """
     edges = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = None
     while True:
         # Every node to the smallest of its neighbourhood, for the larger neighbours.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
