@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from lakestrata.llm import bpe, chat, minhash, packing, pivots, postings, quality, substrings, tokenfile, toxicity
 from lakestrata.llm.queries import ORACLE, QUERIES
+from lakestrata.llm.shared import Memo, components
 from tests.conftest import DATA
 
 KIND = "doc_id long, text string, lang string, score double, component_id string"
@@ -226,3 +227,31 @@ def test_pipeline_keeps_columns_and_takes_effect(spark, docs):
     assert sizes[0] > sizes[1] > sizes[2] > sizes[3] == sizes[4]
     packed = corpus_pipeline.STAGES[-1][1](spark, rows, DATA)
     assert packed.select("doc_id").distinct().count() == sizes[4]
+
+
+def test_components_of_chains_rings_and_stars(spark):
+    rng = np.random.default_rng(5)
+    edges = [(i, i + 1) for i in range(100, 140)] + [(200, i) for i in range(150, 260)] + [(300, 301), (301, 302), (302, 300), (7, 7)]
+    edges += [tuple(map(int, p)) for p in rng.integers(1_000, 1_400, (230, 2))]
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for u, v in edges:
+        if u != v:
+            a, b = sorted((find(u), find(v)))
+            root[b] = a
+    got = components(spark.createDataFrame(edges, "u long, v long")).collect()
+    assert {r["node"]: r["component"] for r in got} == {x: find(x) for x in root} and len(got) == len(root)
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_memo_keeps_what_is_asked_for_often():
+    made = []
+    memo = Memo(lambda k: made.append(k) or k * 2, 10)
+    for k in range(100):
+        assert (memo[k], memo[-1]) == (k * 2, -2)
+    assert made.count(-1) == 1 and len(memo) + len(memo.older) <= 10
