@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
@@ -36,10 +37,17 @@ SEPARATORS = set(" .-_*~'^,:;/\\")
 LOOK_COST, DROP_COST, KEEP_COST, SQUEEZE_COST = 0.7, 0.4, 6.0, 0.4
 
 _LETTERS = re.compile(r"[^\W\d_]+")
-_MIXED = re.compile(r"[^\W\d_][^\w\s]?[0-9@$!|+(€£]+[^\W\d_]|^[0-9@$!|(€£][^\W\d_]{2}|[^\W\d_]{2}[0-9@$!|€£]$|[^\W\d_][0-9@$!|+(€£]{1,3}[^\W\d_]?$")
-_SPLIT = re.compile(r"[^\W\d_][\s.\-_*~'^,:;/\\]+[^\W\d_][\s.\-_*~'^,:;/\\]+[^\W\d_]|[^\W\d_][*]+[^\W\d_]")
-_RUN = re.compile(r"([^\W\d_])\1\1")
-_EDGE_NOISE = re.compile(r"^([^\w\s])\1+|([^\w\s])\2+$|[.,;:?]+$")
+_LETTER = re.compile(r"[^\W\d_]")
+_LOOKS = "".join(map(re.escape, LOOKALIKES))
+_SIGN = rf"[{_LOOKS}]|[^\W\d_]"  # what may be a letter
+_HIDDEN = re.compile(rf"[{_LOOKS}]|(?:{_SIGN})[\s.\-_*~'^,:;/\\]+(?:{_SIGN})|([^\W\d_])\1")
+_TWICE = re.compile(r"([^\W\d_])\1")
+_EDGE_NOISE = re.compile(r"^[^\w\s]+|[^\w\s]+$")
+_EDGE_SEPARATORS = "".join(sorted(SEPARATORS))
+#: What characters may stand for, as one sign for all that may be the same letter; separators go.
+_FOLDED = {c: x[0] for c, x in LOOKALIKES.items()} | {c: "" for c in SEPARATORS} | {"l": "i", "£": "i"}
+_FOLD = str.maketrans(_FOLDED)
+_REPEAT = re.compile(r"(.)\1+", re.S)
 
 
 def _codes() -> np.ndarray:
@@ -106,11 +114,12 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     for run in re.finditer(r"(.)\1*", token, re.S):
         c, n = run[1], len(run[0])
         if c.isalpha():
-            places.append([(c * n, 0.0)] if n < 3 else [(c, SQUEEZE_COST), (c * 2, SQUEEZE_COST)])
+            # A letter twice may be meant or drawn out; more of them are one or two.
+            places.append([(c * 2, 0.0), (c, SQUEEZE_COST)] if n == 2 else [(c, SQUEEZE_COST), (c * 2, SQUEEZE_COST)] if n > 2 else [(c, 0.0)])
         elif c in LOOKALIKES:
-            meant = [(x, LOOK_COST) for x in LOOKALIKES[c]] + [(c, KEEP_COST)]
-            # Several of them may be one letter drawn out, or a letter each.
-            places += [meant] * n if n < 3 else [[(x, LOOK_COST + SQUEEZE_COST) for x in LOOKALIKES[c]] + [(c * n, KEEP_COST)]]
+            # Several of them may be one letter drawn out, or a letter each; three or more are kept at the cost of one.
+            meant = [(x, LOOK_COST) for x in LOOKALIKES[c]] + [(c, KEEP_COST if n < 3 else KEEP_COST / n)]
+            places += [meant] + [meant + [("", SQUEEZE_COST)]] * (n - 1)
         elif c in SEPARATORS:
             places.append([("", DROP_COST), (" ", KEEP_COST)])
         else:
@@ -139,17 +148,19 @@ def decode(token: str, costs: np.ndarray) -> str:
 
 
 def suspicious(token: str) -> bool:
-    return bool(_MIXED.search(token) or _SPLIT.search(token) or _RUN.search(token))
+    """Whether a token with a letter also has a look-alike, a separator between two signs, or a letter twice in a row."""
+    return bool(_LETTER.search(token) and _HIDDEN.search(token))
 
 
-def restored_words(token: str, costs: np.ndarray) -> list[str]:
-    """Words of letters that a lower-case token holds after it is restored."""
-    if token.isalpha() and not _RUN.search(token):
+def restored_words(token: str, costs: np.ndarray, worth: Callable[[str], bool] = suspicious) -> list[str]:
+    """Words of letters that a lower-case token holds before and after it is restored, if that is ``worth`` it."""
+    if token.isalpha() and not _TWICE.search(token):
         return [token]
-    core = _EDGE_NOISE.sub("", token)
     words = _LETTERS.findall(token)
-    if suspicious(core):
-        words = words + [w for w in _LETTERS.findall(decode(core, costs)) if w not in words]
+    # A look-alike at an edge may be a letter or a mark, so the token is read with its edges and without.
+    for form in dict.fromkeys((token, _EDGE_NOISE.sub("", token))):
+        if worth(form):
+            words += [w for w in _LETTERS.findall(decode(form, costs)) if w not in words]
     return words
 
 
@@ -158,9 +169,14 @@ def word_features(word: str) -> list[str]:
     return [f"={word}", *(f"^{word[:n]}" for n in range(3, 7) if n <= len(word))]
 
 
+def folded(token: str) -> str:
+    """A token as the signs it may stand for: every spelling that the lattice can restore to a word folds like the word."""
+    return _REPEAT.sub(r"\1", token.translate(_FOLD))
+
+
 def spelled(words: list[str]) -> list[str]:
-    """Runs of three or more single letters, as one token with blanks."""
-    single = [i for i, w in enumerate(words) if len(w) == 1]
+    """Runs of three or more single signs, which separators may follow or precede, as one token with blanks."""
+    single = [i for i, w in enumerate(words) if len(w) == 1 or len(w) < 4 and len(w.strip(_EDGE_SEPARATORS)) == 1]
     if len(single) < 3:
         return []
     runs, run = [], []
@@ -174,20 +190,53 @@ def spelled(words: list[str]) -> list[str]:
 
 
 class Finder:
-    """Features of texts: those in ``known`` as their places, or all as names when ``known`` is None."""
+    """Features of texts: those in ``known`` as their places, or all as names when ``known`` is None.
+
+    Blanks may split a word anywhere. Neighbours that fold like a known whole word are decoded together; no others
+    can restore to one.
+    """
 
     def __init__(self, costs: np.ndarray, known: dict[str, int] | None = None):
         self.costs, self.known = costs, known
         self.memo = Memo(self._token, 250_000)
+        # As a token is, and without marks at its edges.
+        self.folds = Memo(lambda w: tuple({folded(w), folded(_EDGE_NOISE.sub("", w))}), 250_000)
+        self.whole = {folded(f[1:]) for f in known or () if f[0] == "="}
+        self.starts = {f[:n] for f in self.whole for n in range(1, len(f) + 1)}
+        self.begins = {folded(f[1:]) for f in known or ()}
+        self.lengths = sorted({len(f) for f in self.begins})
+
+    def _worth(self, token: str) -> bool:
+        """Whether decoding may find a known feature: all words it can give fold like a part of the token, or its start if all are letters."""
+        if not suspicious(token) or self.known is None:
+            return suspicious(token)
+        text = folded(token)
+        places = 1 if token.isalpha() else len(text)
+        return any(text[i : i + n] in self.begins for i in range(places) for n in self.lengths)
 
     def _token(self, token: str) -> tuple:
-        names = (f for w in restored_words(token, self.costs) for f in word_features(w))
+        names = (f for w in restored_words(token, self.costs, self._worth) for f in word_features(w))
         return tuple(names) if self.known is None else tuple(sorted({self.known[f] for f in names if f in self.known}))
 
+    def _split(self, words: list[str]) -> list[str]:
+        """Neighbours that fold like a known whole word, as one token with blanks."""
+        folds, starts, runs = list(map(self.folds.__getitem__, words)), self.starts, []
+        for i, forms in enumerate(folds):
+            begun = [f for f in forms if f in starts]
+            j = i + 1
+            while begun and j < len(folds):
+                if folds[j] != ("",):
+                    longer = {a + (b[b[:1] == a[-1] :]) for a in begun for b in folds[j]}
+                    begun = [f for f in longer if f in starts]
+                    if not self.whole.isdisjoint(begun):
+                        runs.append(" ".join(words[i : j + 1]))
+                j += 1
+        return runs
+
     def __call__(self, text: str) -> set:
         words = text.lower().split()
         found: set = set()
-        for hit in map(self.memo.__getitem__, words + spelled(words)):
+        for hit in map(self.memo.__getitem__, words + spelled(words) + self._split(words) if self.starts else words + spelled(words)):
             if hit:
                 found.update(hit)
         return found

@@ -198,6 +198,32 @@ def test_channel_restores_disguised_words():
     assert toxicity.spelled("so i d i o t x y".split()) == ["i d i o t x y"]
 
 
+def test_channel_restores_mixed_spellings_and_keeps_clean_words():
+    # A character model that has seen the words, as a corpus would show them.
+    counts = toxicity.trigram_counts(b"moron idiot loser clown slut killer good night soon such well known hello in the hall " * 50)
+    costs = -np.log((counts.reshape(28, 28, 28) + 0.01) / (counts.reshape(28, 28, 28).sum(2, keepdims=True) + 0.28))
+    known = {f"={w}": i for i, w in enumerate(("moron", "idiot", "loser", "clown", "slut", "killer"))}
+    find = toxicity.Finder(costs, known)
+    seen = {
+        "moron": ["m 0 r 0 n", "m.0.r.0.n", "mo.ron", "mo ron", "M0 ron!", "mmoorroonn", "(m0r0n)", "i a m 0 r 0 n x", "m. 0. r. 0. n."],
+        "idiot": ["i d 1 0 t", "i.d.1.0.t", "id-iot", "id iot", "iddiioott", "1d10t", "i d - 1 0 t"],
+        "loser": ["l 0 s 3 r", "l00s3r", "lo_ser", "l000ser"], "clown": ["c l 0 w n", "(lown", "cl..own"], "slut": ["$lut", "$ l u t", "$$lut"], "killer": ["k1113r", "k 1 1 1 3 r"],
+    }
+    for word, spellings in seen.items():
+        for text in spellings:
+            assert known[f"={word}"] in find(f"well {text} hello"), text
+    for text in ("good night", "well-known hello!", "soon such in the hall", "4 5 5", "mo in ron", "a.b 3.14 1st"):
+        assert find(text) == set(), text
+    for token in ("good", "hello!", "well-known", "1st"):  # what is written stays beside what it may mean
+        assert set(re.findall("[a-z]+", token)) <= set(toxicity.restored_words(token, costs))
+    # Decoding only what may hold a known feature finds the same as decoding all.
+    letters = random.Random(2)
+    for _ in range(3000):
+        token = "".join(letters.choices("moridtlsen0135$!.-", k=letters.randint(1, 9)))
+        every = {known[f] for w in toxicity.restored_words(token, costs) for f in toxicity.word_features(w) if f in known}
+        assert set(find._token(token)) == every
+
+
 @pytest.mark.parametrize("kind", [quality, toxicity])
 def test_classifiers_on_held_out_rows(spark, docs, none, kind):
     folder = DATA.replace("sf0.001", "sf0.1")
