@@ -95,8 +95,7 @@ def apply_inferred(df: DataFrame, plan: InferredRollup) -> DataFrame:
 
 
 def _as_text(c: Column, kind: T.DataType) -> Column:
-    if isinstance(kind, (T.DoubleType, T.FloatType)):
-        return c.cast("decimal(38,4)").cast("string")
+    """Text that reads back as the same value; NaN, the largest double, stays NaN."""
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
     return c.cast("string")

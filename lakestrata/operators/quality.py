@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakestrata.functions.text import glob_regex
 
@@ -175,18 +176,42 @@ def produced_rows(df: DataFrame) -> bool:
     return not df.isEmpty()
 
 
-def reconcile(detail: DataFrame, summary: DataFrame, measures: Mapping[str, str]) -> DataFrame:
-    """Totals of detail measures against the summary columns that should add up to them."""
+def _is_exact(kind: T.DataType) -> bool:
+    return isinstance(kind, (T.DecimalType, T.IntegralType))
+
+
+def _in_full(c: str, kind: T.DataType) -> Column:
+    """A measure as it is summed: decimals in their own scale, integers as decimals, all else as doubles."""
+    return F.col(c).cast("decimal(20,0)") if isinstance(kind, T.IntegralType) else F.col(c) if _is_exact(kind) else F.col(c).cast("double")
+
+
+def reconcile(detail: DataFrame, summary: DataFrame, measures: Mapping[str, str], tolerance: float = 1e-9) -> DataFrame:
+    """Totals of detail measures against the summary columns that should add up to them.
+
+    No row is rounded. Decimals and integers must agree exactly. Where a side is a double, whose sum depends on the
+    order of rows, totals may differ by ``tolerance`` times the larger sum of absolute values; NaN agrees with NaN. All totals
+    are listed as doubles if one measure has a double, but each is judged in its own type.
+    """
+    exact = {m: _is_exact(detail.schema[m[0]].dataType) and _is_exact(summary.schema[m[1]].dataType) for m in measures.items()}
     sides = []
-    for side, df, pick in (("d", detail, lambda m: m[0]), ("s", summary, lambda m: m[1])):
-        totals = [
-            F.struct(F.lit(m[0]).alias("measure"), F.sum(F.col(pick(m)).cast("decimal(38,4)")).alias("total"))
-            for m in measures.items()
-        ]
-        sides.append(df.agg(F.array(*totals).alias("t")).select(F.inline("t"), F.lit(side).alias("side")))
-    both = sides[0].unionByName(sides[1])
-    totals = both.groupBy("measure").agg(
-        F.max(F.when(F.col("side") == "d", F.col("total"))).alias("detail_total"),
-        F.max(F.when(F.col("side") == "s", F.col("total"))).alias("summary_total"),
-    )
-    return totals.withColumn("balanced", F.col("detail_total").eqNullSafe(F.col("summary_total")))
+    for side, df, at in (("d", detail, 0), ("s", summary, 1)):
+        sums = []
+        for i, m in enumerate(measures.items()):
+            value = _in_full(m[at], df.schema[m[at]].dataType)
+            value = value if exact[m] else value.cast("double")
+            sums += [F.sum(value).alias(f"{side}{i}"), F.sum(F.abs(value)).alias(f"{side}{i}_size")]
+        sides.append(df.agg(*sums))
+    both = sides[0].crossJoin(sides[1])  # one row each
+    scale = max([f.dataType.scale for f in both.schema.fields if isinstance(f.dataType, T.DecimalType)], default=0)
+    listed = T.DecimalType(38, scale) if all(exact.values()) else T.DoubleType()
+    found = []
+    for i, m in enumerate(measures.items()):
+        d, s = F.col(f"d{i}"), F.col(f"s{i}")
+        balanced = d.eqNullSafe(s)
+        if not exact[m]:
+            size = F.greatest(f"d{i}_size", f"s{i}_size")
+            close = F.abs(d - s) <= F.lit(tolerance) * size
+            balanced = balanced | F.coalesce(close & (size < float("inf")), F.lit(False))
+        totals = (d.cast(listed).alias("detail_total"), s.cast(listed).alias("summary_total"))
+        found.append(F.struct(F.lit(m[0]).alias("measure"), *totals, balanced.alias("balanced")))
+    return both.select(F.inline(F.array(*found)))

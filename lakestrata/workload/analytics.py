@@ -368,7 +368,11 @@ def statuses_in_order(t):
     ),
 )
 def column_profile(t):
-    return A.profile_columns(t.lineitem)
+    found = A.profile_columns(t.lineitem)
+    # The SQL states doubles with four decimals; the operator gives them exactly.
+    doubles = F.col("column_name").isin([f.name for f in t.lineitem.schema.fields if f.dataType.typeName() == "double"])
+    stated = {c: F.when(doubles, F.col(c).try_cast("decimal(38,4)").cast("string")).otherwise(F.col(c)) for c in ("min_value", "max_value")}
+    return found.withColumns(stated)
 
 
 @query(

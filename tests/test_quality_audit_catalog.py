@@ -57,6 +57,18 @@ def test_expectations(spark):
     assert Q.produced_rows(df) and not Q.produced_rows(spark.range(0))
 
 
+def test_reconcile_rounds_no_row(spark):
+    nan = float("nan")
+    detail = spark.createDataFrame([(0.00004, 0.1, 1e30, nan)] * 10, "a double, b double, c double, e double").selectExpr("*", "cast(0.000010 as decimal(10,6)) as f", "cast(1 as bigint) as g")
+    summary = spark.createDataFrame([(0.0004, 1.0, 1e31, nan)], "a double, b double, c double, e double").selectExpr("*", "cast(0.000101 as decimal(10,6)) as f", "cast(10 as bigint) as g")
+    got = {r["measure"]: r for r in Q.reconcile(detail, summary, {m: m for m in "abcefg"}).collect()}
+    assert {m: r["balanced"] for m, r in got.items()} == {"a": True, "b": True, "c": True, "e": True, "f": False, "g": True}
+    assert abs(got["a"]["detail_total"] - 0.0004) < 1e-12
+    off = summary.withColumn("a", F.lit(0.0)).withColumn("e", F.lit(1.0))
+    assert [r["balanced"] for r in Q.reconcile(detail, off, {"a": "a", "e": "e"}).collect()] == [False, False]
+    assert str(Q.reconcile(detail, summary, {"f": "f"}).first()["detail_total"]) == "0.000100"
+
+
 def test_reconcile(spark):
     detail = spark.createDataFrame([(1,), (2,)], "x int")
     got = Q.reconcile(detail, spark.createDataFrame([(3,)], "sx int"), {"x": "sx"}).first()

@@ -83,6 +83,14 @@ def test_rollup_rejects_mixed_grains():
         A.rollup(None, [A.AggregationRule("a", "SUM", "x", ("k",)), A.AggregationRule("b", "SUM", "x", ("j",))])
 
 
+@pytest.mark.parametrize("approximate", [False, True])
+def test_profile_gives_doubles_exactly(spark, approximate):
+    df = spark.createDataFrame([(1e-6, 0.1, -1e300), (2e-6, float("nan"), 1e300)], "a double, b double, c double")
+    got = {r["column_name"]: (r["min_value"], r["max_value"]) for r in A.profile_columns(df, approximate=approximate).collect()}
+    assert {k: tuple(map(float, v)) for k, v in got.items() if k != "b"} == {"a": (1e-6, 2e-6), "c": (-1e300, 1e300)}
+    assert got["b"] == ("0.1", "NaN")
+
+
 def test_profile_of_nulls_and_of_an_empty_table(spark):
     df = spark.createDataFrame([(1, None), (1, "a"), (None, None)], "n int, s string")
     got = {r["column_name"]: r for r in A.profile_columns(df).collect()}
