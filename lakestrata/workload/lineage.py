@@ -97,13 +97,15 @@ def lineage_roots(t):
     return L.roots(supply_edges(t))
 
 
-def _column_edges(t):
-    orders = t.orders.where("o_orderstatus = 'F'").select(
+def _column_edges(t, every_order=False):
+    """Columns of closed orders, or of all with the status as the transformation, and of the parts in orders."""
+    taken = t.orders if every_order else t.orders.where("o_orderstatus = 'F'")
+    orders = taken.select(
         _node("customer", "o_custkey").alias("src_table"),
         F.lit("c_custkey").alias("src_column"),
         _node("order", "o_orderkey").alias("dst_table"),
         F.lit("o_custkey").alias("dst_column"),
-        F.lit("direct").alias("transform"),
+        (F.col("o_orderstatus") if every_order else F.lit("direct")).alias("transform"),
     )
     lines = t.lineitem.groupBy(_node("order", "l_orderkey").alias("src_table"), _node("part", "l_partkey").alias("dst_table")).agg(
         F.lit("o_custkey").alias("src_column"), F.lit("buyer").alias("dst_column"), F.lit("COUNT()").alias("transform")
@@ -154,6 +156,46 @@ def impact_summary(t):
     return L.impact(supply_edges(t), _column_edges(t), "customer:7")
 
 
+# The same three over the orders of every status.
+
+
+@query(
+    "trace_from_column_all",
+    "N4",
+    _reach("customer:7", "src", "dst", 3) + " SELECT node, CAST(depth AS BIGINT) AS depth, array_to_string(path, '>') AS path FROM reached",
+)
+def trace_from_column_all(t):
+    return _printed(L.trace_from_column(_column_edges(t, every_order=True), supply_edges(t), "customer:7", "c_custkey"))
+
+
+@query(
+    "trace_columns_all",
+    "N4",
+    """
+    WITH a AS (SELECT 'order:' || o_orderkey || '.o_custkey' AS node FROM orders WHERE o_custkey = 7),
+         b AS (SELECT DISTINCT 'part:' || l_partkey || '.buyer' AS node FROM lineitem
+               WHERE 'order:' || l_orderkey || '.o_custkey' IN (SELECT node FROM a))
+    SELECT node, 1 AS depth FROM a UNION ALL SELECT node, 2 FROM b
+    """,
+)
+def trace_columns_all(t):
+    return L.trace_columns(_column_edges(t, every_order=True), "customer:7", "c_custkey").select("node", "depth")
+
+
+@query(
+    "impact_summary_all",
+    "N6 N10",
+    _reach("customer:7", "src", "dst", 3)
+    + """
+    SELECT 'customer:7' AS source_table, COUNT(*) AS total_affected, CAST(MAX(depth) AS BIGINT) AS impact_depth,
+           CAST(COUNT_IF(depth = 1) AS BIGINT) AS direct, CAST(COUNT_IF(depth > 1) AS BIGINT) AS indirect,
+           (SELECT COUNT(*) FROM orders WHERE o_custkey = 7) AS affected_columns FROM reached
+    """,
+)
+def impact_summary_all(t):
+    return L.impact(supply_edges(t), _column_edges(t, every_order=True), "customer:7")
+
+
 @query(
     "direct_and_indirect",
     "N10",
