@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakestrata.llm import bpe, chat, minhash, packing, pivots, postings, quality, substrings, tokenfile, toxicity
+from lakestrata.llm import bpe, chat, infill, lexicon, minhash, packing, pivots, postings, quality, simplex, substrings, tokenfile, toxicity
 from lakestrata.llm.shared import table
 from lakestrata.session import scratch_path
 
@@ -166,3 +166,62 @@ def op10_token_file(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_variable_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), packing.word_count(F.col("text")))
+
+
+def _rounds(n: int) -> str:
+    """Steps of the clustering SQL: assign all vectors to the centroids of round k, then take the floors of the means."""
+    step = """
+    d{k} AS (SELECT r, min({{'d': list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'k': k}}) AS b
+             FROM q, c{k} GROUP BY r)"""
+    move = """
+    m{k} AS (SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c
+             FROM (SELECT b.k AS k, i, SUM(v[i]) AS s, COUNT(*) AS n FROM q JOIN d{k} USING (r), range(1, 65) t(i) GROUP BY b.k, i) GROUP BY k),
+    c{j} AS (SELECT k, COALESCE(m{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN m{k} USING (k))"""
+    parts = [p.format(k=k, j=k + 1) for k in range(n) for p in (step, move)]
+    return ",".join([*parts, step.format(k=n)])
+
+
+@query(
+    sql=f"""
+    WITH q AS MATERIALIZED (
+      SELECT vec_id, v, row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, v) AS r
+      FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+    c0 AS (SELECT CAST(r - 1 AS INT) AS k, v AS c FROM q WHERE r <= 16),{_rounds(3)},
+    a AS (SELECT vec_id, b.k AS cluster, b.d AS distance FROM q JOIN d3 USING (r))
+    SELECT vec_id, cluster, CAST(distance AS BIGINT) AS distance,
+           CAST(SUM(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(SUM(distance) OVER () AS BIGINT) AS inertia,
+           sha256(array_to_string(c, ',')) AS centroid_sha256
+    FROM a JOIN c3 ON k = cluster
+    """
+)
+def op11_simplex_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return simplex.cluster(table(spark, folder, "embeddings")).drop("n_compared")
+
+
+@query(
+    sql="""
+    WITH given AS (
+      SELECT doc_id, COALESCE(text, '') AS s, length(COALESCE(text, '')) AS n, sha256('1:' || COALESCE(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+    drawn AS (
+      SELECT *, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS x, CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS y,
+             CAST('0x' || h[17:24] AS BIGINT) % 100 AS change, CAST('0x' || h[25:32] AS BIGINT) % 100 AS turn FROM given),
+    formed AS (
+      SELECT *, least(x, y) AS p, greatest(x, y) - least(x, y) AS m,
+             CASE WHEN n = 0 OR contains(s, '<P>') OR contains(s, '<S>') OR contains(s, '<M>') OR change >= 90 THEN 'plain'
+                  WHEN turn < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+    cut AS (SELECT *, substring(s, 1, p) AS a, substring(s, p + 1, m) AS b, substring(s, p + m + 1) AS c FROM formed)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN p END AS prefix_chars, CASE WHEN form <> 'plain' THEN m END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN s WHEN 'psm' THEN '<P>' || a || '<S>' || c || '<M>' || b
+                  ELSE '<S>' || c || '<P>' || a || '<M>' || b END) AS output_sha256,
+           sha256(s) AS restored_sha256
+    FROM cut
+    """
+)
+def op12_rank_index_infill(spark: SparkSession, folder: str) -> DataFrame:
+    return infill.digests(table(spark, folder, "documents"))
+
+
+@query
+def op13_lexicon_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return lexicon.round_trip(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
