@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakestrata.functions import statements as S
 from lakestrata.functions.text import count_pattern, present
-from lakestrata.sources.write import IDENTIFIER, QUOTED, READ_ONLY_OPENINGS, WRITES
+from lakestrata.sources.write import IDENTIFIER
 
 # DDL statements that may run.
 DDL_OPENINGS = (
@@ -108,26 +109,19 @@ def _by_score(value) -> Column:
 
 
 def safety(log: DataFrame) -> DataFrame:
-    """Whether a statement only reads, holds several statements, or is permitted DDL."""
-    text = F.trim("sql")
-    upper = F.upper(text)
-
-    def opens_with(openings: tuple[str, ...]) -> Column:
-        test = F.lit(False)
-        for opening in openings:
-            test = test | upper.startswith(opening)
-        return test
-
-    bare = F.regexp_replace(text, QUOTED, " '' ")
-    several = F.regexp_replace(bare, r"[;\s]+$", "").contains(";")
-    read_only = opens_with(READ_ONLY_OPENINGS) & ~bare.rlike(WRITES)
-    return log.select(
-        "stmt_id",
-        read_only.alias("read_only"),
-        several.alias("multi_statement"),
-        opens_with(DDL_OPENINGS).alias("permitted_ddl"),
-        (read_only & ~several).alias("runs_as_query"),
-    )
+    """Whether a statement only reads, holds several statements, or is permitted DDL.
+
+    For logs of any size, from the text alone; ``check_read_only`` asks Spark's parser about one statement. A text
+    that several statements stand in does not run as a query, whatever they do. A null text is none of these.
+    """
+    upper = F.upper(F.trim("sql"))
+    ddl = F.lit(False)
+    for opening in DDL_OPENINGS:
+        ddl = ddl | upper.startswith(opening)
+    read_only, several = S.reads_only(F.col("sql")), S.several(F.col("sql"))
+    found = log.select("stmt_id", read_only.alias("read_only"), several.alias("multi_statement"), ddl.alias("permitted_ddl"))
+    found = found.fillna(False, ["read_only", "multi_statement", "permitted_ddl"])
+    return found.withColumn("runs_as_query", F.col("read_only") & ~F.col("multi_statement"))
 
 
 def is_safe_identifier(name: Column) -> Column:

@@ -6,6 +6,8 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 
 # Storage format, compression and retention in days per layer; 0 keeps for ever.
@@ -32,8 +34,8 @@ LAYER_STORAGE = {
 IDENTIFIER = r"^[A-Za-z_][A-Za-z0-9_]{0,127}$"
 READ_ONLY_OPENINGS = ("SELECT", "WITH")
 
-QUOTED = r"""(?s)'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|/\*.*?\*/"""
-WRITES = r"(?is)\b(?:INSERT\s+(?:INTO|OVERWRITE)|MERGE\s+(?:WITH\s+SCHEMA\s+EVOLUTION\s+)?INTO|DELETE\s+FROM|UPDATE\s+\S+\s+(?:AS\s+)?(?:\S+\s+)?SET)\b"
+# Functions that call any method of the JVM.
+CALLS_ANYTHING = {"reflect", "try_reflect", "java_method"}
 
 
 def check_identifier(name: str) -> str:
@@ -42,25 +44,49 @@ def check_identifier(name: str) -> str:
     return name
 
 
-def check_read_only(sql: str) -> str:
-    """The statement without a closing semicolon; anything but one SELECT or WITH is refused.
-
-    Literals, quoted names and comments do not count, and a WITH list may not lead to a write.
+def _writes(spark: SparkSession, plan) -> str | None:
+    """What a parsed plan would do beside reading, or None: commands, writes, external programs, calls of JVM methods."""
+    named = spark._jvm.java.lang.Class.forName
+    logical = "org.apache.spark.sql.catalyst.plans.logical."
+    command, script = named(logical + "Command"), named(logical + "ScriptTransformation")
+    is_plan, is_call = named(logical + "LogicalPlan"), named("org.apache.spark.sql.catalyst.analysis.UnresolvedFunction")
+    waiting = [plan]
+    while waiting:
+        node = waiting.pop()
+        kind = node.getClass().getSimpleName()
+        if is_plan.isInstance(node):
+            if command.isInstance(node) or kind in ("InsertIntoStatement", "CompoundBody"):
+                return kind
+            if script.isInstance(node):
+                return "a script"
+            waiting += [x for found in (node.innerChildren(), node.expressions()) for x in map(found.apply, range(found.size()))]
+        elif is_call.isInstance(node) and node.nameParts().last().lower() in CALLS_ANYTHING:
+            return f"a call of {node.nameParts().last()}"
+        children = node.children()
+        waiting += map(children.apply, range(children.size()))
+    return None
+
+
+def check_read_only(spark: SparkSession, sql: str) -> str:
+    """The statement without a closing semicolon; anything but one SELECT or WITH that only reads is refused.
+
+    Spark's own parser says what the statement is, so literals, comments and quoted names cannot hide a write. Nothing is run.
     """
     statement = sql.strip().rstrip(";").strip()
-    bare = re.sub(QUOTED, " '' ", statement)
     if not statement.upper().startswith(READ_ONLY_OPENINGS):
         raise ValueError("only SELECT or WITH is accepted")
-    if ";" in bare:
-        raise ValueError("only a single statement is accepted")
-    if re.search(WRITES, bare):
-        raise ValueError("a statement that writes is not accepted")
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)
+    except (ParseException, Py4JJavaError) as e:
+        raise ValueError(f"not a single statement that Spark can read: {e}") from e
+    if found := _writes(spark, plan):
+        raise ValueError(f"a statement that does more than read is not accepted: {found}")
     return statement
 
 
 def select(spark: SparkSession, sql: str, **arguments) -> DataFrame:
     """One read-only statement, with named parameters."""
-    statement = check_read_only(sql)
+    statement = check_read_only(spark, sql)
     return spark.sql(statement, args=arguments) if arguments else spark.sql(statement)
 
 

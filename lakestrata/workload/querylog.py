@@ -90,21 +90,48 @@ def statement_complexity(t):
     )
 
 
+# Statements that hide what they do, or seem to hide something: (text, reads only, several statements, permitted DDL).
+_TRICKY = (
+    ("WITH x AS (SELECT '1' AS a) INSERT/**/INTO t_# SELECT a FROM x", False, False, False),
+    (r"WITH x AS (SELECT r'\' AS a) INSERT INTO t_# SELECT a FROM x WHERE a <> 'z'", False, False, False),
+    ("WITH x(a) AS (SELECT f(1, (2))),y AS (SELECT * FROM x) SELECT delete FROM y /* INSERT INTO /* t */ ( */", True, False, False),
+    ("SELECT ';' AS `INSERT INTO t_#`, \"it's -- here\" FROM t -- ; DROP TABLE t", True, False, False),
+    ("SELECT 1; DROP TABLE t_#", True, True, False),
+    ("WITH gone AS (DELETE FROM t_# RETURNING *) SELECT * FROM gone", False, False, False),
+    ("SELECT * INTO copy_# FROM t", False, False, False),
+    ("SELECT 'never closed FROM t_#", False, False, False),
+    ("CREATE TABLE t_# (a INT)", False, False, True),
+    ("WITH x AS (SELECT 1) FROM x INSERT OVERWRITE t_# SELECT 1", False, False, False),
+)
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def tricky_log(t):
+    text = F.element_at(F.array(*(F.lit(s[0]) for s in _TRICKY)), (F.col("event_id") % len(_TRICKY)).cast("int") + 1)
+    return t.events.select(F.col("event_id").alias("stmt_id"), F.replace(text, F.lit("#"), F.col("user_id").cast("string")).alias("sql"))
+
+
 @query(
     "statement_safety",
     "L3 P10",
     f"""
-    WITH {_LOG}
-    SELECT stmt_id, opens AND NOT writes AS read_only, several AS multi_statement,
+    WITH {_LOG},
+    known AS (SELECT * FROM (VALUES {", ".join(f"({i}, {r}, {m}, {d})" for i, (_, r, m, d) in enumerate(_TRICKY))}) v(i, reads, several, ddl))
+    SELECT 'plain' AS log, stmt_id, opens AND NOT writes AS read_only, several AS multi_statement,
            starts_with(upper(sql), 'CREATE TABLE') AS permitted_ddl, opens AND NOT writes AND NOT several AS runs_as_query
     FROM (SELECT stmt_id, sql, starts_with(upper(sql), 'SELECT') OR starts_with(upper(sql), 'WITH') AS opens,
                  contains(rtrim(bare, ';'), ';') AS several,
                  regexp_matches(upper(bare), 'INSERT (INTO|OVERWRITE)|MERGE INTO|DELETE FROM|UPDATE .* SET ') AS writes
           FROM (SELECT *, regexp_replace(sql, '''[^'']*''', '''''', 'g') AS bare FROM log))
+    UNION ALL SELECT 'tricky', event_id, reads, several, ddl, reads AND NOT several FROM events JOIN known ON i = event_id % {len(_TRICKY)}
     """,
 )
 def statement_safety(t):
-    return Q.safety(statement_log(t))
+    plain, tricky = (Q.safety(log).withColumn("log", F.lit(name)) for name, log in (("plain", statement_log(t)), ("tricky", tricky_log(t))))
+    return plain.unionByName(tricky)
 
 
 @query(

@@ -60,7 +60,7 @@ def test_cdc_reads_operations_in_any_case(spark):
 def test_read_only_guard_looks_behind_with(spark):
     for bad in ("WITH x AS (SELECT 1) INSERT INTO t SELECT * FROM x", "with x as (select 1) merge into t using x on 1=1", "SELECT 1; SELECT 2", "DROP TABLE t"):
         with pytest.raises(ValueError):
-            W.check_read_only(bad)
+            W.check_read_only(spark, bad)
     for good in ("SELECT ';' AS a;", "WITH x AS (SELECT 'insert into t' AS a) SELECT * FROM x -- delete from t;"):
         assert rows(W.select(spark, good))
     log = spark.createDataFrame([(1, "WITH x AS (SELECT 1) INSERT INTO t SELECT * FROM x"), (2, "SELECT ';' AS a")], "stmt_id int, sql string")
