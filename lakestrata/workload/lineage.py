@@ -97,15 +97,14 @@ def lineage_roots(t):
     return L.roots(supply_edges(t))
 
 
-def _column_edges(t, every_order=False):
-    """Columns of closed orders, or of all with the status as the transformation, and of the parts in orders."""
-    taken = t.orders if every_order else t.orders.where("o_orderstatus = 'F'")
-    orders = taken.select(
+def _column_edges(t):
+    """Columns of orders, with the status as the transformation, and of the parts in them."""
+    orders = t.orders.select(
         _node("customer", "o_custkey").alias("src_table"),
         F.lit("c_custkey").alias("src_column"),
         _node("order", "o_orderkey").alias("dst_table"),
         F.lit("o_custkey").alias("dst_column"),
-        (F.col("o_orderstatus") if every_order else F.lit("direct")).alias("transform"),
+        F.col("o_orderstatus").alias("transform"),
     )
     lines = t.lineitem.groupBy(_node("order", "l_orderkey").alias("src_table"), _node("part", "l_partkey").alias("dst_table")).agg(
         F.lit("o_custkey").alias("src_column"), F.lit("buyer").alias("dst_column"), F.lit("COUNT()").alias("transform")
@@ -113,16 +112,10 @@ def _column_edges(t, every_order=False):
     return orders.unionByName(lines)
 
 
-_COLUMN_EDGES = """
-    closed AS (SELECT 'customer:' || o_custkey AS src, 'order:' || o_orderkey AS dst FROM orders WHERE o_orderstatus = 'F')
-"""
-
-
 @query(
     "trace_from_column",
     "N4",
-    _reach("customer:7", "src", "dst", 3, "closed").replace(f"WITH {_GRAPH}", f"WITH {_GRAPH}, {_COLUMN_EDGES}")
-    + " SELECT node, CAST(depth AS BIGINT) AS depth, array_to_string(path, '>') AS path FROM reached",
+    _reach("customer:7", "src", "dst", 3) + " SELECT node, CAST(depth AS BIGINT) AS depth, array_to_string(path, '>') AS path FROM reached",
 )
 def trace_from_column(t):
     return _printed(L.trace_from_column(_column_edges(t), supply_edges(t), "customer:7", "c_custkey"))
@@ -132,7 +125,7 @@ def trace_from_column(t):
     "trace_columns",
     "N4",
     """
-    WITH a AS (SELECT 'order:' || o_orderkey || '.o_custkey' AS node FROM orders WHERE o_orderstatus = 'F' AND o_custkey = 7),
+    WITH a AS (SELECT 'order:' || o_orderkey || '.o_custkey' AS node FROM orders WHERE o_custkey = 7),
          b AS (SELECT DISTINCT 'part:' || l_partkey || '.buyer' AS node FROM lineitem
                WHERE 'order:' || l_orderkey || '.o_custkey' IN (SELECT node FROM a))
     SELECT node, 1 AS depth FROM a UNION ALL SELECT node, 2 FROM b
@@ -149,53 +142,13 @@ def trace_columns(t):
     + """
     SELECT 'customer:7' AS source_table, COUNT(*) AS total_affected, CAST(MAX(depth) AS BIGINT) AS impact_depth,
            CAST(COUNT_IF(depth = 1) AS BIGINT) AS direct, CAST(COUNT_IF(depth > 1) AS BIGINT) AS indirect,
-           (SELECT COUNT(*) FROM orders WHERE o_orderstatus = 'F' AND o_custkey = 7) AS affected_columns FROM reached
+           (SELECT COUNT(*) FROM orders WHERE o_custkey = 7) AS affected_columns FROM reached
     """,
 )
 def impact_summary(t):
     return L.impact(supply_edges(t), _column_edges(t), "customer:7")
 
 
-# The same three over the orders of every status.
-
-
-@query(
-    "trace_from_column_all",
-    "N4",
-    _reach("customer:7", "src", "dst", 3) + " SELECT node, CAST(depth AS BIGINT) AS depth, array_to_string(path, '>') AS path FROM reached",
-)
-def trace_from_column_all(t):
-    return _printed(L.trace_from_column(_column_edges(t, every_order=True), supply_edges(t), "customer:7", "c_custkey"))
-
-
-@query(
-    "trace_columns_all",
-    "N4",
-    """
-    WITH a AS (SELECT 'order:' || o_orderkey || '.o_custkey' AS node FROM orders WHERE o_custkey = 7),
-         b AS (SELECT DISTINCT 'part:' || l_partkey || '.buyer' AS node FROM lineitem
-               WHERE 'order:' || l_orderkey || '.o_custkey' IN (SELECT node FROM a))
-    SELECT node, 1 AS depth FROM a UNION ALL SELECT node, 2 FROM b
-    """,
-)
-def trace_columns_all(t):
-    return L.trace_columns(_column_edges(t, every_order=True), "customer:7", "c_custkey").select("node", "depth")
-
-
-@query(
-    "impact_summary_all",
-    "N6 N10",
-    _reach("customer:7", "src", "dst", 3)
-    + """
-    SELECT 'customer:7' AS source_table, COUNT(*) AS total_affected, CAST(MAX(depth) AS BIGINT) AS impact_depth,
-           CAST(COUNT_IF(depth = 1) AS BIGINT) AS direct, CAST(COUNT_IF(depth > 1) AS BIGINT) AS indirect,
-           (SELECT COUNT(*) FROM orders WHERE o_custkey = 7) AS affected_columns FROM reached
-    """,
-)
-def impact_summary_all(t):
-    return L.impact(supply_edges(t), _column_edges(t, every_order=True), "customer:7")
-
-
 @query(
     "direct_and_indirect",
     "N10",
@@ -242,6 +195,21 @@ def lineage_cycles(t):
     return found.select(F.array_join("path", " -> ").alias("cycle"), F.col("length").cast("long").alias("length"))
 
 
+@query(
+    "nodes_on_cycles",
+    "N5",
+    """
+    WITH RECURSIVE e AS (SELECT DISTINCT 'item:' || l_partkey AS src, 'item:' || l_suppkey AS dst FROM lineitem),
+    core AS (SELECT * FROM e WHERE src IN (SELECT dst FROM e)),
+    reach AS (SELECT src, dst FROM core UNION SELECT r.src, c.dst FROM reach r JOIN core c ON c.src = r.dst)
+    SELECT a.src AS node, MIN(b.src) AS component FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src
+    """,
+)
+def nodes_on_cycles(t):
+    edges = t.lineitem.select(_node("item", "l_partkey").alias("src"), _node("item", "l_suppkey").alias("dst"))
+    return L.cycle_components(edges)
+
+
 @query(
     "stored_edges",
     "N7",

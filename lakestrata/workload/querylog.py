@@ -152,6 +152,58 @@ def edges_from_log(t):
     return L.edges_from_log(statement_log(t))
 
 
+# Statements whose select lists need more than a split at commas; # is a user.
+_WRITERS = {
+    "click": "INSERT INTO dwd_clicks_# (uid, n) SELECT e.user_id, count(e.event_id) FROM ods_events_# e GROUP BY e.user_id",
+    "view": "WITH a AS (SELECT * FROM ods_events_#),b AS (SELECT * FROM a) INSERT INTO dwd_views_# "
+    "SELECT b.user_id AS uid, COALESCE(b.value, d.weight) AS v, 'x, (y FROM z' AS label FROM b, dim_kind d WHERE b.kind = d.kind",
+    "purchase": "CREATE TABLE dws_purchase_# AS SELECT v.uid, CASE WHEN v.v > 1 THEN w.n ELSE 0 END AS flag, sum(v.v * (w.n + 1)) OVER (PARTITION BY v.uid) AS total "
+    "FROM dwd_views_# v LEFT JOIN (SELECT n, uid FROM dwd_clicks_#) w ON v.uid = w.uid /* , dim_no n */",
+    "signup": "INSERT OVERWRITE TABLE ads_signup_# SELECT DISTINCT total, uid || '-' || flag AS tag FROM dws_purchase_# UNION ALL SELECT x, y FROM other",
+    "error": "SELECT user_id FROM ods_events_#",
+}
+
+_WRITTEN = """
+    u AS (SELECT DISTINCT event_type, CAST(user_id AS VARCHAR) AS id FROM events),
+    written AS (SELECT replace(s, '#', id) AS src_table, sc AS src_column, replace(d, '#', id) AS dst_table, dc AS dst_column, f AS transform
+      FROM u JOIN (VALUES
+        ('click', 'ods_events_#', 'user_id', 'dwd_clicks_#', 'uid', 'direct'), ('click', 'ods_events_#', 'event_id', 'dwd_clicks_#', 'n', 'COUNT()'),
+        ('view', 'ods_events_#', 'user_id', 'dwd_views_#', 'uid', 'direct'), ('view', 'ods_events_#', 'value', 'dwd_views_#', 'v', 'COALESCE()'),
+        ('view', 'dim_kind', 'weight', 'dwd_views_#', 'v', 'COALESCE()'), ('purchase', 'dwd_views_#', 'uid', 'dws_purchase_#', 'uid', 'direct'),
+        ('purchase', 'dwd_views_#', 'v', 'dws_purchase_#', 'flag', 'CASE'), ('purchase', 'dwd_clicks_#', 'n', 'dws_purchase_#', 'flag', 'CASE'),
+        ('purchase', 'dwd_views_#', 'v', 'dws_purchase_#', 'total', 'SUM()'), ('purchase', 'dwd_clicks_#', 'n', 'dws_purchase_#', 'total', 'SUM()'),
+        ('purchase', 'dwd_views_#', 'uid', 'dws_purchase_#', 'total', 'SUM()'), ('signup', 'dws_purchase_#', 'total', 'ads_signup_#', 'total', 'direct'),
+        ('signup', 'dws_purchase_#', 'uid', 'ads_signup_#', 'tag', 'expression'), ('signup', 'dws_purchase_#', 'flag', 'ads_signup_#', 'tag', 'expression')
+      ) v(k, s, sc, d, dc, f) ON k = event_type)
+"""
+
+
+def writers_log(t):
+    text = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in _WRITERS.items()])
+    return t.events.select(F.col("event_id").alias("stmt_id"), F.replace(text, F.lit("#"), F.col("user_id").cast("string")).alias("sql"))
+
+
+@query("column_edges_from_log", "N4 N6 N7", f"WITH {_WRITTEN} SELECT * FROM written")
+def column_edges_from_log(t):
+    return L.column_edges_from_log(writers_log(t))
+
+
+@query(
+    "trace_logged_columns",
+    "N4",
+    f"""
+    WITH {_WRITTEN},
+    e AS (SELECT DISTINCT src_table || '.' || src_column AS s, dst_table || '.' || dst_column AS d FROM written),
+    l1 AS (SELECT DISTINCT d AS node FROM e WHERE s = 'dim_kind.weight'),
+    l2 AS (SELECT DISTINCT d AS node FROM e JOIN l1 ON s = node),
+    l3 AS (SELECT DISTINCT d AS node FROM e JOIN l2 ON s = node)
+    SELECT node, 1 AS depth FROM l1 UNION ALL SELECT node, 2 FROM l2 UNION ALL SELECT node, 3 FROM l3
+    """,
+)
+def trace_logged_columns(t):
+    return L.trace_columns(L.column_edges_from_log(writers_log(t)), "dim_kind", "weight").select("node", "depth")
+
+
 @query(
     "safe_identifiers",
     "L3",
