@@ -29,6 +29,7 @@ def _nested(opens: str, closes: str, other: str, depth: int) -> str:
 _COMMENT = _nested(r"/\*", r"\*/", r"[^*/]++|\*(?!/)|/(?!\*)", DEPTH).replace(r"\*/", r"(?:\*/)")
 #: A pair of brackets with all that is in it.
 BRACKETS = _nested(r"\(", r"\)", r"[^()]++", DEPTH)
+_FILLED = r"\((?!\))"
 #: A table name, in one or several parts.
 NAME = r"(?:[\w$]++|`[^`]++`)(?:\s*+\.\s*+(?:[\w$]++|`[^`]++`))*+"
 
@@ -45,17 +46,17 @@ def bare(sql: Column) -> Column:
     return F.regexp_replace(names, "\u0001(?:--)?+\u0001", " ")
 
 
-def unclosed(text: Column) -> Column:
-    """Whether a bare text still holds the start of a comment, literal, name or bracket that nothing ends."""
-    closed = F.regexp_replace(text, "''|\"\"|`(?:[^`]++|``)*+`", "")
-    return closed.rlike(r"""['"`]|/\*""") | outline(closed).rlike(r"\((?!\))|(?<!\()\)")
-
-
 def outline(text: Column) -> Column:
     """A bare text at depth 0: all brackets empty."""
-    for _ in range(PASSES):
-        text = F.regexp_replace(text, BRACKETS, "()")
-    return text
+    flat = F.regexp_replace(text, BRACKETS, "()")
+    for _ in range(PASSES - 1):
+        flat = F.when(flat.rlike(_FILLED), F.regexp_replace(flat, BRACKETS, "()")).otherwise(flat)
+    return flat
+
+
+def unclosed(text: Column, flat: Column) -> Column:
+    """Whether a bare text, or its outline, holds the start of a comment, literal, name or bracket that nothing ends."""
+    return flat.rlike(rf"{_FILLED}|(?<!\()\)") | F.regexp_replace(text, "''|\"\"|`(?:[^`]++|``)*+`", "").rlike(r"""['"`]|/\*""")
 
 
 def until(words: str) -> str:
@@ -77,19 +78,22 @@ _LIST_ITEM = r"(?:[\w$]++|`[^`]++`)\s*+(?:\(\)\s*+)?+(?:MAX\s++RECURSION\s++LEVE
 _WITH = rf"(?:WITH\s++(?:RECURSIVE\s++)?+{_LIST_ITEM}(?:\s*+,\s*+{_LIST_ITEM})*+\s*+)?+"
 
 
-def reads_only(sql: Column) -> Column:
-    """Whether a single statement opens with SELECT or WITH and its main verb reads.
+def without_names(text: Column) -> Column:
+    """A bare text whose quoted names are all the same word, so that none reads like a verb."""
+    return F.regexp_replace(text, "`(?:[^`]++|``)*+`", "`q`")
+
+
+def reads_only(text: Column, flat: Column) -> Column:
+    """Whether a bare text without names, whose outline is ``flat``, opens with SELECT or WITH and its main verb reads.
 
     After a WITH list only SELECT, VALUES, TABLE or a bracket may follow; SELECT ... INTO, writes within brackets
     (which some databases allow in a WITH list) and text that nothing closes do not count as reading. Null text is null.
     """
-    text = F.regexp_replace(bare(F.trim(sql)), "`(?:[^`]++|``)*+`", "`q`")
-    flat = outline(text)
     verb = flat.rlike(rf"(?is)^{_WITH}(?:SELECT\b|VALUES\b|TABLE\b|\(\))") & flat.rlike(r"(?is)^(?:SELECT|WITH)\b")
     writes = flat.rlike(r"(?i)\b(?:INTO|INSERT\s+OVERWRITE)\b") | text.rlike(r"(?i)\(\s*(?:INSERT|UPDATE|DELETE|MERGE)\b(?!\s*[,)(])")
-    return verb & ~writes & ~unclosed(text)
+    return verb & ~writes & ~unclosed(text, flat)
 
 
-def several(sql: Column) -> Column:
-    """Whether a text holds more than one statement."""
-    return F.regexp_replace(bare(sql), r"[;\s]+$", "").contains(";")
+def several(text: Column) -> Column:
+    """Whether a bare text holds more than one statement."""
+    return F.regexp_replace(text, r"[;\s]+$", "").contains(";")

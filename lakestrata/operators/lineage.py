@@ -51,12 +51,17 @@ _CTE = rf"(?is)(?:\bWITH(?:\s++RECURSIVE)?+|,)\s*+([\w$]++|`[^`]++`)\s*+(?:\([^(
 
 
 def _plain_statements(log: DataFrame) -> DataFrame:
-    """Every different statement once, as bare text; a log repeats its statements, and so its text is read once each."""
+    """Every different statement once, as bare text.
+
+    A log repeats its statements, so each text is read once. They are written out, for filters on what is found in a text would
+    else be computed before the repeats are gone, and dealt to all tasks: a text costs more to read than to move.
+    """
     quoted = F.regexp_replace("sql", r"""(?i)\b(FROM|JOIN|INTO|TABLE|OVERWRITE)(\s+)"([\w.$]+)\"""", "$1$2$3")
     # Operators and functions that hold a FROM of their own.
     text = F.regexp_replace(S.bare(quoted), r"(?i)\bIS\s+(?:NOT\s+)?DISTINCT\s+FROM\b", "=")
     text = F.regexp_replace(text, rf"(?i)\b(?:EXTRACT|TRIM|SUBSTRING|OVERLAY)\s*+(?={S.BRACKETS})\((?:[^()]++)\)", "f()")
-    return log.where("sql IS NOT NULL").select("sql").distinct().select(text.alias("sql"))
+    tasks = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(log.where("sql IS NOT NULL").select("sql").distinct().repartition(tasks).select(text.alias("sql")), "statements")
 
 
 def _bare(c: Column) -> Column:
@@ -235,7 +240,7 @@ def trace_many(
     start.write.parquet(f"{path}/depth=0")
     seen = lambda: spark.read.schema(kind).parquet(path)
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):
-        frontier = seen().where(F.col("depth") == depth - 1)
+        frontier = spark.read.schema(kind).parquet(f"{path}/depth={depth - 1}")
         used = [r["bucket"] for r in frontier.select("bucket").distinct().collect()]
         if not used:
             break
@@ -376,17 +381,18 @@ def cycle_components(edges: DataFrame) -> DataFrame:
     return result.groupBy("node").agg(F.min("component").alias("component"))
 
 
-def cycles(edges: DataFrame, max_len: int | None = None) -> DataFrame:
+def cycles(edges: DataFrame, max_len: int | None = None, components: DataFrame | None = None) -> DataFrame:
     """All simple cycles, or those of up to ``max_len`` edges: (path, length), closed at both ends.
 
-    Only for graphs whose cycles are few; ``cycle_components`` names the nodes on cycles of any graph. Paths stay
-    within one component, and a cycle is grown from its smallest node through greater nodes only, so it is
+    Only for graphs whose cycles are few; ``cycle_components`` names the nodes on cycles of any graph, and given as ``components``
+    it keeps all paths within one of them. A cycle is grown from its smallest node through greater nodes only, so it is
     found once. A self edge is the cycle [a, a].
     """
-    steps = materialize(_trim_loose_ends(edges.select("src", "dst").distinct()), "cycle-edges")
-    if max_len is None or max_len > 3:  # longer paths are worth the search for components
-        nodes = cycle_components(steps)
-        a, b = (nodes.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component")) for c in ("src", "dst"))
+    steps = edges.select("src", "dst").distinct()
+    if components is None:
+        steps = materialize(_trim_loose_ends(materialize(steps, "cycle-edges")), "cycle-edges")
+    else:
+        a, b = (components.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component")) for c in ("src", "dst"))
         steps = materialize(steps.join(a, "src").join(b, "dst").where("src_component = dst_component").select("src", "dst"), "cycle-edges")
     self_loops = steps.where(F.col("src") == F.col("dst")).select(F.array("src", "dst").alias("path"), F.lit(1).alias("length"))
     onward = steps.where(F.col("src") != F.col("dst"))

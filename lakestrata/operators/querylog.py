@@ -118,8 +118,10 @@ def safety(log: DataFrame) -> DataFrame:
     ddl = F.lit(False)
     for opening in DDL_OPENINGS:
         ddl = ddl | upper.startswith(opening)
-    read_only, several = S.reads_only(F.col("sql")), S.several(F.col("sql"))
-    found = log.select("stmt_id", read_only.alias("read_only"), several.alias("multi_statement"), ddl.alias("permitted_ddl"))
+    texts = log.select("stmt_id", ddl.alias("permitted_ddl"), S.without_names(S.bare(F.trim("sql"))).alias("text"))
+    flat = texts.withColumn("flat", S.outline(F.col("text")))
+    read_only, several = S.reads_only(F.col("text"), F.col("flat")), S.several(F.col("text"))
+    found = flat.select("stmt_id", read_only.alias("read_only"), several.alias("multi_statement"), "permitted_ddl")
     found = found.fillna(False, ["read_only", "multi_statement", "permitted_ddl"])
     return found.withColumn("runs_as_query", F.col("read_only") & ~F.col("multi_statement"))
 

@@ -135,6 +135,7 @@ def test_cycles(spark):
     assert got == {("a", "b", "a"), ("a", "b", "c", "a"), ("s", "s")}
     assert {tuple(r["path"]) for r in L.cycles(g, 2).collect()} == {("a", "b", "a"), ("s", "s")}
     assert L.cycles(edges(spark, "a>b b>c"), 5).collect() == []
+    assert {tuple(r["path"]) for r in L.cycles(g, components=L.cycle_components(g)).collect()} == got
 
 
 def test_nodes_on_cycles(spark):
