@@ -48,6 +48,10 @@ _EDGE_SEPARATORS = "".join(sorted(SEPARATORS))
 _FOLDED = {c: x[0] for c, x in LOOKALIKES.items()} | {c: "" for c in SEPARATORS} | {"l": "i", "£": "i"}
 _FOLD = str.maketrans(_FOLDED)
 _REPEAT = re.compile(r"(.)\1+", re.S)
+_REPEAT_WITHIN = re.compile(r"([^\n])\1+")
+_DRAWN_OUT = re.compile(r"(.)\1{2,}", re.S)
+#: Signs that a word may begin behind: behind a separator that another one follows it begins later.
+_WORD_MAY_FOLLOW = re.compile(rf"[\W\d_](?={_SIGN})")
 
 
 def _codes() -> np.ndarray:
@@ -174,9 +178,18 @@ def folded(token: str) -> str:
     return _REPEAT.sub(r"\1", token.translate(_FOLD))
 
 
+def is_single(word: str) -> bool:
+    """Whether a word is one sign, which separators may follow or precede."""
+    return len(word) == 1 or len(word) < 4 and len(word.strip(_EDGE_SEPARATORS)) == 1
+
+
 def spelled(words: list[str]) -> list[str]:
-    """Runs of three or more single signs, which separators may follow or precede, as one token with blanks."""
-    single = [i for i, w in enumerate(words) if len(w) == 1 or len(w) < 4 and len(w.strip(_EDGE_SEPARATORS)) == 1]
+    """Runs of three or more single signs as one token with blanks."""
+    return joined_runs(words, [i for i, w in enumerate(words) if is_single(w)])
+
+
+def joined_runs(words: list[str], single: list[int]) -> list[str]:
+    """Three or more of the given places that follow each other, as one token with blanks."""
     if len(single) < 3:
         return []
     runs, run = [], []
@@ -198,47 +211,105 @@ class Finder:
 
     def __init__(self, costs: np.ndarray, known: dict[str, int] | None = None):
         self.costs, self.known = costs, known
-        self.memo = Memo(self._token, 250_000)
-        # As a token is, and without marks at its edges.
-        self.folds = Memo(lambda w: tuple({folded(w), folded(_EDGE_NOISE.sub("", w))}), 250_000)
+        # What tokens give, in two halves of which the older one goes when the newer one is full. Names of features are long, places are shared.
+        self.newer, self.older, self.limit = {}, {}, 10_000 if known is None else 40_000
         self.whole = {folded(f[1:]) for f in known or () if f[0] == "="}
         self.starts = {f[:n] for f in self.whole for n in range(1, len(f) + 1)}
         self.begins = {folded(f[1:]) for f in known or ()}
         self.lengths = sorted({len(f) for f in self.begins})
+        self.heads = {f[:3] for f in self.begins}
+        self.pairs = Memo(folded, 10_000)
 
     def _worth(self, token: str) -> bool:
-        """Whether decoding may find a known feature: all words it can give fold like a part of the token, or its start if all are letters."""
-        if not suspicious(token) or self.known is None:
+        """Whether decoding may find a known feature.
+
+        A word begins where the token does or behind a sign that is no letter, and all words that may be meant from
+        there on fold like the token from there on.
+        """
+        if self.known is None or not suspicious(token):
             return suspicious(token)
-        text = folded(token)
-        places = 1 if token.isalpha() else len(text)
-        return any(text[i : i + n] in self.begins for i in range(places) for n in self.lengths)
+        short = _DRAWN_OUT.sub(r"\1\1", token)  # folds alike
+        return any(self._may_begin(short[i:]) for i in (0, *(m.end() for m in _WORD_MAY_FOLLOW.finditer(short))))
+
+    def _may_begin(self, token: str) -> bool:
+        return self._known_start(folded(token))
+
+    def _known_start(self, flat: str) -> bool:
+        heads = self.heads
+        return (flat[:3] in heads or flat[:2] in heads or flat[:1] in heads) and any(flat[:n] in self.begins for n in self.lengths)
+
+    def _begun(self, token: str, flat: str) -> tuple:
+        """The forms of a token, as it is and without marks at its edges, that begin a known whole word."""
+        if not self.starts:
+            return ()
+        bare = token.strip(_EDGE_SEPARATORS)  # which fold to nothing
+        if bare and bare[0].isalnum() and bare[-1].isalnum():
+            return (flat,) if flat in self.starts else ()
+        if bare[:2].isalpha() and len(head := self.pairs[bare[:2]]) == 2 and head not in self.starts:
+            return ()
+        return tuple(f for f in {flat, folded(_EDGE_NOISE.sub("", token))} if f in self.starts)
 
     def _token(self, token: str) -> tuple:
         names = (f for w in restored_words(token, self.costs, self._worth) for f in word_features(w))
         return tuple(names) if self.known is None else tuple(sorted({self.known[f] for f in names if f in self.known}))
 
-    def _split(self, words: list[str]) -> list[str]:
-        """Neighbours that fold like a known whole word, as one token with blanks."""
-        folds, starts, runs = list(map(self.folds.__getitem__, words)), self.starts, []
-        for i, forms in enumerate(folds):
-            begun = [f for f in forms if f in starts]
-            j = i + 1
-            while begun and j < len(folds):
-                if folds[j] != ("",):
-                    longer = {a + (b[b[:1] == a[-1] :]) for a in begun for b in folds[j]}
-                    begun = [f for f in longer if f in starts]
-                    if not self.whole.isdisjoint(begun):
+    def _value(self, token: str, flat: str) -> tuple:
+        """Features of a token that folds to ``flat``, the forms in which it may begin a word that blanks split, and whether it is a single sign.
+
+        () if nothing of it counts: what a token can mean folds like it from a place on where a word may begin.
+        """
+        single = len(token) < 4 and is_single(token)
+        if self.known is None:
+            return self._token(token), (), single
+        begun = self._begun(token, flat)
+        may = self._known_start(flat) or not token.isalpha() and any(self._may_begin(token[m.end() :]) for m in _WORD_MAY_FOLLOW.finditer(token))
+        hits = self._token(token) if may else ()
+        return (hits, begun, single) if hits or begun or single else ()
+
+    def _learn(self, tokens: list[str]) -> None:
+        """Values of tokens that the newer half lacks; all of them are folded in one go."""
+        if len(self.newer) > self.limit:
+            self.newer, self.older = {}, self.newer
+        flats = _REPEAT_WITHIN.sub(r"\1", "\n".join(tokens).translate(_FOLD)).split("\n")
+        newer, older, heads, starts, fitted = self.newer, self.older, self.heads, self.starts, self.known is not None
+        for token, flat in zip(tokens, flats):
+            if token in older:
+                newer[token] = older[token]
+            elif fitted and token.isalpha() and flat not in starts and flat[:3] not in heads and flat[:2] not in heads and flat[:1] not in heads and len(token) > 1:
+                newer[token] = ()  # most tokens
+            else:
+                newer[token] = self._value(token, flat)
+
+    def _split(self, words: list[str], begun: list[tuple[int, tuple]]) -> list[str]:
+        """Neighbours that fold like a known whole word, as one token with blanks, from the places where one may begin."""
+        runs = []
+        for i, forms in begun:
+            for j in range(i + 1, len(words)):
+                if (c := words[j][0]).isalpha():
+                    sign = _FOLDED.get(c, c)
+                    forms = [a for a in forms if a[-1] == sign or a + sign in self.starts]
+                    if not forms:
+                        break
+                folds = {folded(words[j]), folded(_EDGE_NOISE.sub("", words[j]))}
+                if folds != {""}:
+                    forms = {f for a in forms for b in folds if (f := a + b[b[:1] == a[-1] :]) in self.starts}
+                    if not self.whole.isdisjoint(forms):
                         runs.append(" ".join(words[i : j + 1]))
-                j += 1
+                    if not forms:
+                        break
         return runs
 
     def __call__(self, text: str) -> set:
         words = text.lower().split()
+        while new := set(words).difference(self.newer):  # twice if some of them go with the older half
+            self._learn(list(new))
+        counting = [(i, v) for i, v in enumerate(map(self.newer.__getitem__, words)) if v]
         found: set = set()
-        for hit in map(self.memo.__getitem__, words + spelled(words) + self._split(words) if self.starts else words + spelled(words)):
-            if hit:
-                found.update(hit)
+        for _, (hits, _, _) in counting:
+            found.update(hits)
+        more = joined_runs(words, [i for i, v in counting if v[2]]) + self._split(words, [(i, v[1]) for i, v in counting if v[1]])
+        for token in more:
+            found.update(self._token(token))
         return found
 
 
@@ -287,7 +358,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Mod
         for batch in batches:
             for text, label in zip(batch["text"].to_pylist(), batch["label"].to_pylist()):
                 seen.update((f, label) for f in find(text or ""))
-                if len(seen) > 200_000:
+                if len(seen) > 60_000:
                     yield out()
         if seen:
             yield out()
