@@ -18,11 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakestrata.llm.shared import Memo, components, per_batch, per_process, raw
+from lakestrata.llm.shared import components, mix, per_batch, raw, word_hashes
 from lakestrata.session import materialize
 
 SHINGLE = 5
@@ -36,27 +35,10 @@ BLOCK = 2_000  # members of a bucket that one task holds against the whole bucke
 HOT = 2_000  # members that one task confirms against their leader
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """Scramble 64-bit numbers."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 SEEDS = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 FACTORS = mix(SEEDS) | np.uint64(1)
 
 
-def words_memo() -> Memo:
-    return per_process(("word hashes",), lambda: Memo(xxhash.xxh3_64_intdigest, 700_000))
-
-
-def word_hashes(data: bytes, memo: Memo) -> np.ndarray:
-    """64-bit hashes of the words of a text, A-Z as a-z; words are split at the ASCII white space."""
-    words = data.lower().split()
-    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-
-
 def shingles(hashes: np.ndarray) -> np.ndarray:
     """The sorted distinct hashes of all runs of five words; of fewer words, of the whole run; of none, none."""
     n = len(hashes)
@@ -118,12 +100,10 @@ def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, a 128-bit digest of the set, its odd sketch and its band keys, from whole texts."""
 
     def make():
-        memo = words_memo()
-
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             sizes, digests, sketches, bands = [], [], [], []
             for text in raw(batch, "text"):
-                found = shingles(word_hashes(text or b"", memo))
+                found = shingles(word_hashes((text or b"").lower()))
                 sizes.append(len(found))
                 digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                 samples = min_samples(found)
@@ -166,7 +146,6 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     dealt = texts.repartition("u", "part").sortWithinPartitions("u", "part", "place", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = words_memo()
         group, leads = None, []
         for batch in batches:
             us, vs = [], []
@@ -174,7 +153,7 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             for u, part, place, doc_id, text in rows:
                 if (u, part) != group:
                     group, leads = (u, part), []
-                found = shingles(word_hashes(text or b"", memo))
+                found = shingles(word_hashes((text or b"").lower()))
                 if not place:
                     leads.append(found)  # more than one only if rows share a doc_id
                     continue

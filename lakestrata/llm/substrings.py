@@ -22,8 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lakestrata.llm.minhash import mix
-from lakestrata.llm.shared import Memo, per_batch, per_process, raw
+from lakestrata.llm.shared import mix, per_batch, raw, word_hashes
 from lakestrata.session import materialize
 
 WINDOW = 50
@@ -111,29 +110,17 @@ def window_hashes(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low, whole
 
 
-def _memo() -> Memo:
-    import xxhash
-
-    return per_process(("case word hashes",), lambda: Memo(xxhash.xxh3_64_intdigest, 700_000))
-
-
-def _hashes(words: list[bytes], memo: Memo) -> np.ndarray:
-    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-
-
 def base(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, words_sha256 (of all words joined by a blank) and the least hashes of the windows of every row."""
 
     def make():
-        memo = _memo()
-
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             counts, digests, lows = [], [], []
             for text in raw(batch, "text"):
                 words = (text or b"").split()
                 counts.append(len(words))
                 digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                lows.append(np.unique(window_hashes(_hashes(words, memo))[0]).view(np.int64) if len(words) >= WINDOW else [])
+                lows.append(np.unique(window_hashes(word_hashes(text))[0]).view(np.int64) if len(words) >= WINDOW else [])
             columns = [batch["doc_id"], pa.array(counts, pa.int64()), pa.array(digests), pa.array(lows, pa.list_(pa.int64()))]
             return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "words_sha256", "lows"])
 
@@ -176,12 +163,10 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     texts = materialize(named.dropDuplicates(["doc_id", "words_sha256"]), "texts")
 
     def make():
-        memo = _memo()
-
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             places, wholes = [], []
             for text, lows in zip(raw(batch, "text"), batch["lows"]):
-                low, whole = window_hashes(_hashes(text.split(), memo))
+                low, whole = window_hashes(word_hashes(text))
                 at = np.flatnonzero(np.isin(low, lows.values.to_numpy(zero_copy_only=False).view(np.uint64)))
                 places.append(at.astype(np.int32))
                 wholes.append(whole[at].view(np.int64))

@@ -12,7 +12,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lakestrata.llm import bpe, chat, minhash, packing, pivots, postings, quality, substrings, tokenfile, toxicity
+from lakestrata.llm import bpe, chat, minhash, packing, pivots, postings, quality, shared, substrings, tokenfile, toxicity
 from lakestrata.llm.queries import ORACLE, QUERIES
 from lakestrata.llm.shared import Memo, components
 from tests.conftest import DATA
@@ -222,6 +222,30 @@ def test_channel_restores_mixed_spellings_and_keeps_clean_words():
         token = "".join(letters.choices("moridtlsen0135$!.-", k=letters.randint(1, 9)))
         every = {known[f] for w in toxicity.restored_words(token, costs) for f in toxicity.word_features(w) if f in known}
         assert set(find._token(token)) == every
+        assert set((find._value(token, toxicity.folded(token)) or ((),))[0]) == every
+    # So it does with beginnings of words, and for whole texts, whatever was read before.
+    known |= {f"^{w[:n]}": 6 + n for w in ("moron", "idiot") for n in (3, 4)}
+    find, plain = toxicity.Finder(costs, known), toxicity.Finder(costs)
+    find.limit = 50
+    for _ in range(1500):
+        text = " ".join("".join(letters.choices("moridtlsen0135$!.-ß²%", k=letters.randint(1, 9))) for _ in range(letters.randint(1, 12)))
+        every = {known[f] for w in text.split() for f in plain._token(w) if f in known}
+        assert every <= find(text) and len(find.newer) <= 62
+
+
+def test_word_hashes_tell_words_apart():
+    rng = random.Random(3)
+    texts = [b"", b" ", b"a", b"a a\tb\x0b a  ", b"x" * 9000 + b" y", *(bytes(rng.choices(b"ab \n\xc3\xa9", k=200)) for _ in range(200))]
+    seen = {}
+    for text in texts:
+        words = text.split()
+        hashes = shared.word_hashes(text).tolist()
+        assert len(hashes) == len(words)
+        for w, h in zip(words, hashes):
+            assert seen.setdefault(h, w) == w
+    assert len(seen) == len({w for t in texts for w in t.split()})
+    long = b" ".join(bytes(rng.choices(b"abc", k=rng.randrange(1, 40))) for _ in range(150_000))
+    assert len(long) > shared.PIECE and (shared.word_hashes(long) == np.concatenate([shared.word_hashes(w) for w in long.split()])).all()
 
 
 @pytest.mark.parametrize("kind", [quality, toxicity])
