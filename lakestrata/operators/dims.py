@@ -16,91 +16,97 @@ def scd1(dimension: DataFrame, changes: DataFrame, keys: Sequence[str], order_co
     return upsert(dimension, changes, keys, order_column)
 
 
-def scd2_from_history(
-    history: DataFrame, keys: Sequence[str], attributes: Sequence[str], valid_from: str, bucket: Column, ties: Sequence[str] = ()
-) -> DataFrame:
+def scd2_from_history(history: DataFrame, keys: Sequence[str], attributes: Sequence[str], valid_from: str, ties: Sequence[str] = ()) -> DataFrame:
     """Type 2 (zipper) rows from a change history.
 
     Consecutive rows with equal attributes are one version. A version ends where the next begins
     (half-open), the last one has a NULL ``valid_to`` and ``is_current``. Of several rows with the
     same ``valid_from`` the one with the greatest ``ties`` counts. Attributes compare as values, so
-    NULL equals NULL. ``bucket`` spreads a key with a long history over several tasks
-    and must grow with ``valid_from``, for example its month.
+    NULL equals NULL. A key with a long history is spread over several tasks.
     """
-    order = [valid_from]
     seen = F.max_by(F.struct(*attributes), F.struct(*(ties or attributes))).alias("_seen")
-    rows = history.groupBy(*keys, valid_from).agg(seen)
-    before = previous_row(rows, keys, order, {"_before": "_seen"}, bucket)
-    changed = before.where(F.col("_before").isNull() | ~F.col("_seen").eqNullSafe(F.col("_before")))
-    versions = next_row(changed.drop("_before"), keys, order, {"valid_to": valid_from}, bucket)
-    return versions.select(
+    points = history.groupBy(*keys, F.col(valid_from).alias("valid_from")).agg(seen)
+    return _versions(points, keys, attributes)
+
+
+def _versions(points: DataFrame, keys: Sequence[str], attributes: Sequence[str]) -> DataFrame:
+    """Versions from points (keys, valid_from, _seen: the attributes from then on, null where nothing holds), one row a key and time."""
+    before = previous_row(points.withColumn("_known", F.lit(True)), keys, ["valid_from"], {"_before": "_seen", "_follows": "_known"})
+    changed = before.where(F.col("_follows").isNull() | ~F.col("_seen").eqNullSafe(F.col("_before")))
+    versions = next_row(changed.select(*keys, "valid_from", "_seen"), keys, ["valid_from"], {"valid_to": "valid_from"})
+    return versions.where("_seen IS NOT NULL").select(
         *keys,
         *[F.col("_seen")[a].alias(a) for a in attributes],
-        F.col(valid_from).alias("valid_from"),
+        "valid_from",
         "valid_to",
         F.col("valid_to").isNull().alias("is_current"),
     )
 
 
+def _same(a: Sequence[str], b: Sequence[str]) -> Column:
+    """Equal keys, null equal to null."""
+    test = F.lit(True)
+    for x, y in zip(a, b):
+        test = test & F.col(x).eqNullSafe(F.col(y))
+    return test
+
+
 def scd2_apply(
-    dimension: DataFrame, changes: DataFrame, keys: Sequence[str], attributes: Sequence[str], effective: Column
+    dimension: DataFrame, changes: DataFrame, keys: Sequence[str], attributes: Sequence[str], effective: Column, ties: Sequence[str] = ()
 ) -> DataFrame:
-    """Close and insert: fold one batch of current values into a type 2 dimension.
-
-    ``changes`` has one row per key. Closed versions pass through untouched; a current version is
-    closed at ``effective`` when an attribute differs, and the new value becomes current. Applying
-    the same batch twice changes nothing.
+    """Fold a batch of changes into a type 2 dimension.
+
+    A change holds from ``effective``, an expression over its row, until the next known point of its key. So a key
+    may have several changes in a batch, and a late one splits the version that it falls into. At the same
+    time a change replaces what the dimension says, and of several changes the one with the greatest ``ties`` counts; a change
+    that alters nothing leaves no trace, so applying a batch twice changes nothing. Time that no version covered stays
+    uncovered up to its next point. Null is a key like others; changes without a time are left out. Only the keys in the batch
+    are taken apart, all other versions pass through as they are.
     """
     columns = [*keys, *attributes, "valid_from", "valid_to", "is_current"]
-    incoming = changes.select(
-        *keys, F.struct(*attributes).alias("_new"), F.lit(True).alias("_incoming")
-    )
-    closed = dimension.where(~F.col("is_current")).select(*columns)
-    current = dimension.where("is_current").select(*columns, F.struct(*attributes).alias("_old"))
-    paired = current.join(incoming, list(keys), "full_outer")
-    replaced = F.col("_old").isNotNull() & F.col("_incoming") & ~F.col("_old").eqNullSafe(F.col("_new"))
+    dimension = dimension.select(*columns)
     kind = dimension.schema["valid_from"].dataType
-    start = effective.cast(kind)
-    kept = F.when(
-        F.col("_old").isNotNull(),
-        F.struct(
-            *[F.col("_old")[a].alias(a) for a in attributes],
-            F.col("valid_from"),
-            F.when(replaced, start).alias("valid_to"),
-            (~F.coalesce(replaced, F.lit(False))).alias("is_current"),
-        ),
-    )
-    opened = F.when(
-        F.col("_old").isNull() | replaced,
-        F.struct(
-            *[F.col("_new")[a].alias(a) for a in attributes],
-            start.alias("valid_from"),
-            F.lit(None).cast(kind).alias("valid_to"),
-            F.lit(True).alias("is_current"),
-        ),
-    )
-    versions = paired.select(*keys, F.inline(F.array(kept, opened))).where(F.col("is_current").isNotNull())
-    return closed.unionByName(versions.select(*columns))
+    news = changes.withColumn("_at", effective.cast(kind)).where("_at IS NOT NULL")
+    seen = F.max_by(F.struct(*attributes), F.struct(*(ties or attributes))).alias("_seen")
+    news = news.groupBy(*keys, F.col("_at").alias("valid_from")).agg(seen).withColumn("_rank", F.lit(2))
+    touched = news.select(*[F.col(k).alias(f"_t{i}") for i, k in enumerate(keys)]).distinct()
+    hit = _same(keys, touched.columns)
+    untouched = dimension.join(touched, hit, "left_anti")
+    known = dimension.join(touched, hit, "left_semi")
+    starts = known.select(*keys, "valid_from", F.struct(*attributes).alias("_seen"), F.lit(1).alias("_rank"))
+    # Where a version ends nothing holds, unless the next one or a change begins there.
+    nothing = F.lit(None).cast(starts.schema["_seen"].dataType)
+    ends = known.where("valid_to IS NOT NULL").select(*keys, F.col("valid_to").alias("valid_from"), nothing.alias("_seen"), F.lit(0).alias("_rank"))
+    points = news.unionByName(starts).unionByName(ends)
+    # A null attribute list must be able to win, so the struct is wrapped.
+    settled = points.groupBy(*keys, "valid_from").agg(F.max_by(F.struct("_seen"), "_rank").alias("_top")).select(*keys, "valid_from", F.col("_top._seen").alias("_seen"))
+    return untouched.unionByName(_versions(settled, keys, attributes).select(*columns))
 
 
 def scd3(dimension: DataFrame, changes: DataFrame, keys: Sequence[str], attributes: Sequence[str]) -> DataFrame:
     """Type 3: keep the previous value beside the current one, as ``prev_<attribute>``.
 
-    A value that does not change leaves the previous value alone.
+    A value that does not change leaves the previous value alone. The dimension is joined with the changes as its
+    left side, so a small batch is broadcast and the dimension stays where it is; keys that are new to it come from an anti join.
     """
-    news = changes.select(*keys, *[F.col(a).alias(f"_n_{a}") for a in attributes], F.lit(True).alias("_incoming"))
-    both = dimension.withColumn("_known", F.lit(True)).join(news, list(keys), "full_outer")
+    names = [f"_k{i}" for i in range(len(keys))]
+    news = changes.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], *[F.col(a).alias(f"_n_{a}") for a in attributes], F.lit(True).alias("_incoming"))
+    both = dimension.join(news, _same(keys, names), "left")
     columns = []
     for c in dimension.columns:
         source = c.removeprefix("prev_")
         if c in attributes:
             columns.append(F.when(F.col("_incoming"), F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c))
         elif c.startswith("prev_") and source in attributes:
-            moved = F.col("_incoming") & F.col("_known") & ~F.col(source).eqNullSafe(F.col(f"_n_{source}"))
+            moved = F.col("_incoming") & ~F.col(source).eqNullSafe(F.col(f"_n_{source}"))
             columns.append(F.when(moved, F.col(source)).otherwise(F.col(c)).alias(c))
         else:
             columns.append(F.col(c))
-    return both.select(*columns)
+    known = dimension.select(*[F.col(k).alias(n) for k, n in zip(keys, names)])
+    fresh = changes.select(*keys, *attributes).join(known, _same(keys, names), "left_anti")
+    given = {*keys, *attributes}
+    added = fresh.select(*[F.col(f.name) if f.name in given else F.lit(None).cast(f.dataType).alias(f.name) for f in dimension.schema.fields])
+    return both.select(*columns).unionByName(added)
 
 
 def consolidate(detail: DataFrame, natural_key: Sequence[str], attributes: Sequence[str], order_column: str) -> DataFrame:

@@ -60,56 +60,47 @@ def dense_row_key(df: DataFrame, order_by: Sequence[str | Column] | None = None,
     # One row per task of the write above: at most a few hundred thousand short rows.
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_part.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    keyed = marked.withColumn("_part", part).join(offsets, "_part")
+    keyed = marked.withColumn("_part", part).join(F.broadcast(offsets), "_part")
     return keyed.withColumn(out, F.col("_offset") + place + 1).drop("_part", "_place", "_offset")
 
 
-def _neighbour(
-    df: DataFrame,
-    keys: Sequence[str],
-    order_by: Sequence[str],
-    values: dict[str, str],
-    bucket: Column,
-    forward: bool,
+def neighbours(
+    df: DataFrame, keys: Sequence[str], order_by: Sequence[str], before: dict[str, str] | None = None, after: dict[str, str] | None = None
 ) -> DataFrame:
-    step, opposite = (F.lead, F.lag) if forward else (F.lag, F.lead)
-    record = F.struct(*[F.col(src).alias(dst) for dst, src in values.items()])
-    tagged = df.withColumn("_bucket", bucket).withColumn("_self", record)
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order_by)
-    near = tagged.select(
-        "*", step("_self").over(inside).alias("_found"), opposite(F.lit(1)).over(inside).isNull().alias("_outermost")
-    )
-    # Only the first and last row of each (key, bucket) meet again per key; Spark reuses the one
-    # full shuffle for both branches.
-    settled = near.where(F.col("_found").isNotNull())
-    edges = near.where(F.col("_found").isNull() | F.col("_outermost"))
-    across = step("_self").over(Window.partitionBy(*keys).orderBy(*order_by))
-    carried = edges.withColumn("_carry", across).where(F.col("_found").isNull()).drop("_found")
-    parts = [
-        part.select(*df.columns, *[F.col(found).getField(dst).alias(dst) for dst in values])
-        for part, found in ((settled, "_found"), (carried, "_carry"))
-    ]
-    return parts[0].union(parts[1])
-
-
-def previous_row(
-    df: DataFrame, keys: Sequence[str], order_by: Sequence[str], values: dict[str, str], bucket: Column
-) -> DataFrame:
-    """``lag`` per key, split by ``bucket`` so that one busy key is spread over many tasks.
+    """``lag`` and ``lead`` per key in one pass, balanced however the rows fall on keys and times.
 
-    ``bucket`` must grow with the first order column, for example its day, and ``order_by`` must
-    order the rows of a key fully. Neighbours inside a bucket come from a window over (key,
-    bucket). The first row of a bucket finds its neighbour among the outermost rows of the key's
-    buckets, at most two per bucket. ``values`` maps new column names to source columns.
+    ``before`` and ``after`` map new column names to columns of the row before and the row after. ``order_by`` must order the rows of a key
+    fully. The rows are dealt to ranges of (keys, order), which sampling makes about equal, so a key, or one day of it, that
+    holds much of the table covers several ranges, and written out once for both uses. Windows work within a range; only the first and the last row of each range look beyond it, in
+    a frame of one row a range. Nulls are keys like others. Without neighbour the new columns are null.
     """
-    return _neighbour(df, keys, order_by, values, bucket, forward=False)
-
-
-def next_row(
-    df: DataFrame, keys: Sequence[str], order_by: Sequence[str], values: dict[str, str], bucket: Column
-) -> DataFrame:
-    """``lead`` per key; see ``previous_row``."""
-    return _neighbour(df, keys, order_by, values, bucket, forward=True)
+    before, after = before or {}, after or {}
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialize(df.repartitionByRange(ranges, *keys, *order_by).withColumn("_range", F.spark_partition_id()), "ranges")
+    key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    behind = F.struct(key.alias("key"), *[F.col(src).alias(f"v{i}") for i, src in enumerate(before.values())])
+    ahead = F.struct(key.alias("key"), *[F.col(src).alias(f"v{i}") for i, src in enumerate(after.values())])
+    place = F.struct(key, *order_by)
+    ends = dealt.groupBy("_range").agg(F.max_by(behind, place).alias("_last"), F.min_by(ahead, place).alias("_first"))
+    by_range = Window.orderBy("_range")  # one short row a range
+    beyond = ends.select("_range", F.lag("_last").over(by_range).alias("_last"), F.lead("_first").over(by_range).alias("_first"))
+    inside = Window.partitionBy("_range", *keys).orderBy(*order_by)
+    near = dealt.select("*", F.lag(behind).over(inside).alias("_before"), F.lead(ahead).over(inside).alias("_after"))
+    near = near.withColumn("_key", key).join(F.broadcast(beyond), "_range", "left")
+    same = lambda c: F.when(F.col(c)["key"].eqNullSafe(F.col("_key")), F.col(c))
+    found = near.select(*df.columns, F.coalesce("_before", same("_last")).alias("_before"), F.coalesce("_after", same("_first")).alias("_after"))
+    new = [F.col(side)[f"v{i}"].alias(name) for side, names in (("_before", before), ("_after", after)) for i, name in enumerate(names)]
+    return found.select(*df.columns, *new)
+
+
+def previous_row(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], values: dict[str, str]) -> DataFrame:
+    """``lag`` per key; see ``neighbours``."""
+    return neighbours(df, keys, order_by, before=values)
+
+
+def next_row(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], values: dict[str, str]) -> DataFrame:
+    """``lead`` per key; see ``neighbours``."""
+    return neighbours(df, keys, order_by, after=values)
 
 
 def attach_first_last(

@@ -285,10 +285,8 @@ def first_last_status(t):
 )
 def previous_event(t):
     events = t.events.select("event_id", "user_id", "ts", "event_type")
-    day = F.to_date("ts")
-    keys, order = ["user_id"], ["ts", "event_id"]
-    behind = W.previous_row(events, keys, order, {"previous_type": "event_type"}, day)
-    return W.next_row(behind, keys, order, {"next_id": "event_id"}, day).select("event_id", "previous_type", "next_id")
+    found = W.neighbours(events, ["user_id"], ["ts", "event_id"], {"previous_type": "event_type"}, {"next_id": "event_id"})
+    return found.select("event_id", "previous_type", "next_id")
 
 
 @query(

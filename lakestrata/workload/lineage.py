@@ -162,7 +162,7 @@ def direct_and_indirect(t):
 def _transitions(t):
     """Consecutive event types of each user, with the step's property as its transformation."""
     events = t.events.select("event_id", "user_id", "ts", "event_type", "props")
-    ordered = W.next_row(events, ["user_id"], ["ts", "event_id"], {"next_type": "event_type"}, F.to_date("ts"))
+    ordered = W.next_row(events, ["user_id"], ["ts", "event_id"], {"next_type": "event_type"})
     steps = ordered.where("next_type IS NOT NULL")
     return steps.select(
         F.concat(F.lit("state."), "event_type").alias("src"), F.concat(F.lit("state."), "next_type").alias("dst"), F.col("props").alias("transform"), "event_id", "ts"

@@ -94,7 +94,7 @@ def history(spark):
 
 
 def zipper(spark):
-    return D.scd2_from_history(history(spark), ["k"], ["v"], "ts", F.trunc(F.col("ts").cast("date"), "month"))
+    return D.scd2_from_history(history(spark), ["k"], ["v"], "ts")
 
 
 def test_scd2_versions(spark):
@@ -122,6 +122,47 @@ def test_scd2_apply_is_idempotent_and_intervals_do_not_overlap(spark):
     assert clash.isEmpty()
 
 
+VERSIONS = "k int, v string, valid_from string, valid_to string, is_current boolean"
+
+
+def apply_changes(spark, dimension, changes):
+    dims = spark.createDataFrame(dimension, VERSIONS)
+    return D.scd2_apply(dims, spark.createDataFrame(changes, "k int, v string, at string"), ["k"], ["v"], F.col("at"))
+
+
+def test_scd2_apply_splits_and_settles_versions(spark):
+    dimension = [(1, "a", "2024-01", "2024-05", False), (1, "b", "2024-05", None, True), (2, "x", "2024-01", "2024-03", False), (3, "z", "2024-02", None, True), (None, "n", "2024-01", None, True)]
+    changes = [
+        (1, "c", "2024-07"), (1, "d", "2024-06"), (1, "e", "2024-06"),  # several changes of a key, two of one time
+        (2, "y", "2024-02"), (2, "w", "2024-08"),  # late, and after a gap
+        (4, "new", "2024-02"), (4, "new", "2024-03"), (None, "m", "2024-04"), (3, "z", "2024-09"), (3, "q", None), (5, None, "2024-01"),
+    ]
+    found = apply_changes(spark, dimension, changes)
+    assert rows(found) == sorted([
+        (1, "a", "2024-01", "2024-05", False), (1, "b", "2024-05", "2024-06", False), (1, "e", "2024-06", "2024-07", False), (1, "c", "2024-07", None, True),
+        (2, "x", "2024-01", "2024-02", False), (2, "y", "2024-02", "2024-03", False), (2, "w", "2024-08", None, True), (3, "z", "2024-02", None, True),
+        (4, "new", "2024-02", None, True), (None, "n", "2024-01", "2024-04", False), (None, "m", "2024-04", None, True), (5, None, "2024-01", None, True),
+    ], key=repr)
+    again = [tuple(r) for r in found.collect()]
+    assert rows(apply_changes(spark, again, changes)) == rows(found)
+
+
+def test_scd2_apply_before_on_and_between_versions(spark):
+    dimension = [(1, "a", "2024-03", "2024-05", False), (1, "b", "2024-05", None, True)]
+    early = rows(apply_changes(spark, dimension, [(1, "o", "2024-01")]))
+    assert early == [(1, "a", "2024-03", "2024-05", False), (1, "b", "2024-05", None, True), (1, "o", "2024-01", "2024-03", False)]
+    assert rows(apply_changes(spark, dimension, [(1, "b", "2024-04")])) == [(1, "a", "2024-03", "2024-04", False), (1, "b", "2024-04", None, True)]
+    assert rows(apply_changes(spark, dimension, [(1, "a", "2024-05")])) == [(1, "a", "2024-03", None, True)]
+    assert rows(apply_changes(spark, dimension, [])) == rows(spark.createDataFrame(dimension, VERSIONS))
+    assert rows(apply_changes(spark, [], [(1, "a", "2024-05")])) == [(1, "a", "2024-05", None, True)]
+
+
+def test_scd2_apply_joins_without_moving_both_sides_whole(spark):
+    dims = spark.createDataFrame([(1, "a", "2024-03", None, True)], VERSIONS)
+    found = D.scd2_apply(dims, spark.createDataFrame([(1, "b", "2024-04")], "k int, v string, at string"), ["k"], ["v"], F.col("at"))
+    assert "FullOuter" not in found._jdf.queryExecution().toString()
+
+
 def test_scd3_keeps_the_previous_value(spark):
     dim = spark.createDataFrame([(1, "a", "z"), (2, "b", None)], "k int, v string, prev_v string")
     news = spark.createDataFrame([(1, "a"), (2, "c"), (3, "n")], "k int, v string")

@@ -28,13 +28,30 @@ def test_previous_and_next_row_equal_the_plain_window(spark):
         F.when(F.col("id") % 5 > 0, F.col("id")).alias("v"),
     )
     w = Window.partitionBy("k").orderBy("t", "id")
-    bucket = F.floor(F.col("t") / 10)
-    args = (["k"], ["t", "id"], {"near_v": "v", "near_id": "id"}, bucket)
+    args = (["k"], ["t", "id"], {"near_v": "v", "near_id": "id"})
     for found, plain in ((W.previous_row(df, *args), F.lag), (W.next_row(df, *args), F.lead)):
         wanted = df.select("*", plain("v").over(w).alias("near_v"), plain("id").over(w).alias("near_id"))
         assert rows(found) == rows(wanted)
 
 
+def test_neighbours_of_a_hot_day_are_spread(spark):
+    # Two thirds of all rows are one key on one day.
+    df = spark.range(9000).select(
+        F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id") % 50).alias("k"),
+        F.when(F.col("id") % 3 > 0, F.lit("2024-01-05")).otherwise(F.concat(F.lit("2024-01-1"), F.col("id") % 10)).alias("day"),
+        "id",
+    )
+    w = Window.partitionBy("k").orderBy("day", "id")
+    found = W.neighbours(df, ["k"], ["day", "id"], {"b": "id"}, {"a": "id", "a_day": "day"})
+    wanted = df.select("*", F.lag("id").over(w).alias("b"), F.lead("id").over(w).alias("a"), F.lead("day").over(w).alias("a_day"))
+    assert rows(found) == rows(wanted)
+    ranges = df.repartitionByRange(8, "k", "day", "id").groupBy(F.spark_partition_id()).count()
+    assert ranges.agg(F.max("count")).first()[0] < 9000 / 8 * 2
+    assert W.neighbours(df.limit(0), ["k"], ["id"], {"b": "id"}).collect() == []
+    one = spark.createDataFrame([(None, 1), (None, 2)], "k int, id int")
+    assert rows(W.neighbours(one, ["k"], ["id"], {"b": "id"}, {"a": "id"})) == [(None, 1, None, 2), (None, 2, 1, None)]
+
+
 def test_dense_keys_are_unique_dense_and_ordered(spark):
     df = spark.range(1000).select((F.col("id") % 7).alias("g"), "id").repartition(13)
     keyed = W.dense_row_key(df, ["g", "id"])
