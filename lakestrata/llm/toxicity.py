@@ -211,8 +211,8 @@ class Finder:
 
     def __init__(self, costs: np.ndarray, known: dict[str, int] | None = None):
         self.costs, self.known = costs, known
-        # What tokens give, in two halves of which the older one goes when the newer one is full. Names of features are long, places are shared.
-        self.newer, self.older, self.limit = {}, {}, 10_000 if known is None else 40_000
+        # What tokens give, in two halves of which the older one goes when the newer one is full.
+        self.newer, self.older, self.limit = {}, {}, 40_000
         self.whole = {folded(f[1:]) for f in known or () if f[0] == "="}
         self.starts = {f[:n] for f in self.whole for n in range(1, len(f) + 1)}
         self.begins = {folded(f[1:]) for f in known or ()}
@@ -250,8 +250,9 @@ class Finder:
         return tuple(f for f in {flat, folded(_EDGE_NOISE.sub("", token))} if f in self.starts)
 
     def _token(self, token: str) -> tuple:
-        names = (f for w in restored_words(token, self.costs, self._worth) for f in word_features(w))
-        return tuple(names) if self.known is None else tuple(sorted({self.known[f] for f in names if f in self.known}))
+        """Places of the known features of a token; its words if all features count."""
+        words = restored_words(token, self.costs, self._worth)
+        return tuple(words) if self.known is None else tuple(sorted({self.known[f] for w in words for f in word_features(w) if f in self.known}))
 
     def _value(self, token: str, flat: str) -> tuple:
         """Features of a token that folds to ``flat``, the forms in which it may begin a word that blanks split, and whether it is a single sign.
@@ -310,7 +311,7 @@ class Finder:
         more = joined_runs(words, [i for i, v in counting if v[2]]) + self._split(words, [(i, v[1]) for i, v in counting if v[1]])
         for token in more:
             found.update(self._token(token))
-        return found
+        return {f for w in found for f in word_features(w)} if self.known is None else found
 
 
 class Model(NamedTuple):
