@@ -13,6 +13,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
@@ -215,28 +216,43 @@ class Finder:
         self.newer, self.older, self.limit = {}, {}, 40_000
         self.whole = {folded(f[1:]) for f in known or () if f[0] == "="}
         self.starts = {f[:n] for f in self.whole for n in range(1, len(f) + 1)}
-        self.begins = {folded(f[1:]) for f in known or ()}
-        self.lengths = sorted({len(f) for f in self.begins})
-        self.heads = {f[:3] for f in self.begins}
-        self.pairs = Memo(folded, 10_000)
+        self.prefixes = {folded(f[1:]) for f in known or () if f[0] == "^"}
+        self.heads = {f[:3] for f in self.prefixes}
+        self.lengths = sorted({len(f) for f in self.prefixes})
+        self.longest = max(map(len, self.prefixes | self.whole), default=0)
+        self.pairs, self.joined = Memo(folded, 10_000), Memo(self._token, 10_000)
 
     def _worth(self, token: str) -> bool:
-        """Whether decoding may find a known feature.
+        """Whether decoding may find a known feature."""
+        return suspicious(token) and (self.known is None or self._may_hold(token, folded(token) if token.isalpha() else ""))
 
-        A word begins where the token does or behind a sign that is no letter, and all words that may be meant from
-        there on fold like the token from there on.
+    def _may_hold(self, token: str, flat: str) -> bool:
+        """Whether a token, which folds to ``flat`` if it is all letters, can mean a word with a known feature.
+
+        What it can mean folds like it. A word begins where the token does or behind a sign that is no letter, and it ends
+        before such a sign or with the token; all letters are one word.
         """
-        if self.known is None or not suspicious(token):
-            return suspicious(token)
+        if token.isalpha():
+            heads = self.heads
+            known = flat[:3] in heads or flat[:2] in heads or flat[:1] in heads
+            return flat in self.whole or known and any(flat[:n] in self.prefixes for n in self.lengths)
         short = _DRAWN_OUT.sub(r"\1\1", token)  # folds alike
-        return any(self._may_begin(short[i:]) for i in (0, *(m.end() for m in _WORD_MAY_FOLLOW.finditer(short))))
-
-    def _may_begin(self, token: str) -> bool:
-        return self._known_start(folded(token))
-
-    def _known_start(self, flat: str) -> bool:
-        heads = self.heads
-        return (flat[:3] in heads or flat[:2] in heads or flat[:1] in heads) and any(flat[:n] in self.begins for n in self.lengths)
+        kept = [(i, s) for i, c in enumerate(short) if (s := _FOLDED.get(c, c))]
+        other = [len(kept)] * len(kept)  # where the next different sign stands
+        for k in range(len(kept) - 2, -1, -1):
+            other[k] = k + 1 if kept[k + 1][1] != kept[k][1] else other[k + 1]
+        marks = list(accumulate((not c.isalpha() for c in short), initial=0))
+        k = 0
+        for place in (0, *(m.end() for m in _WORD_MAY_FOLLOW.finditer(short))):
+            while k < len(kept) and kept[k][0] < place:
+                k += 1
+            text, j = "", k
+            while j < len(kept) and len(text) < self.longest:
+                text, after = text + kept[j][1], other[j]
+                if text in self.prefixes or text in self.whole and (after == len(kept) or marks[kept[after][0] + 1] > marks[kept[j][0] + 1]):
+                    return True
+                j = after
+        return False
 
     def _begun(self, token: str, flat: str) -> tuple:
         """The forms of a token, as it is and without marks at its edges, that begin a known whole word."""
@@ -263,7 +279,7 @@ class Finder:
         if self.known is None:
             return self._token(token), (), single
         begun = self._begun(token, flat)
-        may = self._known_start(flat) or not token.isalpha() and any(self._may_begin(token[m.end() :]) for m in _WORD_MAY_FOLLOW.finditer(token))
+        may = self._may_hold(token, flat)
         hits = self._token(token) if may else ()
         return (hits, begun, single) if hits or begun or single else ()
 
@@ -309,8 +325,8 @@ class Finder:
         for _, (hits, _, _) in counting:
             found.update(hits)
         more = joined_runs(words, [i for i, v in counting if v[2]]) + self._split(words, [(i, v[1]) for i, v in counting if v[1]])
-        for token in more:
-            found.update(self._token(token))
+        for token in set(more):
+            found.update(self.joined[token])
         return {f for w in found for f in word_features(w)} if self.known is None else found
 
 
