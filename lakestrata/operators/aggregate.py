@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Type-name tokens that make a column a metric, and those whose metric is summed.
-METRIC_TOKENS = ("INT", "DECIMAL", "NUMERIC", "FLOAT", "DOUBLE", "REAL", "BIGINT")
-SUMMED_TOKENS = ("DECIMAL", "NUMERIC", "DOUBLE", "FLOAT")
+# Columns that are neither dimension nor metric.
 TECHNICAL_COLUMNS = ("row_key", "etl_time")
 
 
@@ -76,10 +75,9 @@ def infer_rollup(schema: T.StructType, primary_key: Sequence[str] = ()) -> Infer
     for f in schema.fields:
         if f.name in skipped:
             continue
-        name = f.dataType.simpleString().upper()
-        if not any(token in name for token in METRIC_TOKENS):
+        if not isinstance(f.dataType, T.NumericType):  # text, times, intervals, lists, structs
             dims.append(f.name)
-        elif any(token in name for token in SUMMED_TOKENS):
+        elif isinstance(f.dataType, (T.FractionalType, T.DecimalType)):
             summed.append(f.name)
         else:
             counted.append(f.name)
@@ -157,8 +155,18 @@ def _profile_single_pass(df: DataFrame, names: list[str]) -> DataFrame:
 FALLBACK_ROW_BYTES = 64
 
 
+def stored_bytes(df: DataFrame) -> int | None:
+    """Size of the files that a frame reads straight from, each once; None if it is not read from files."""
+    try:
+        files = df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size")).groupBy("path").agg(F.max("size").alias("size"))
+        return files.agg(F.sum("size")).first()[0]
+    except AnalysisException:
+        return None
+
+
 def table_statistics(df: DataFrame, table: str, size_bytes: int | None = None) -> DataFrame:
-    """Row count, size and average row size; the size is estimated when it is not known."""
+    """Row count, size and average row size; the size is that of the files, and estimated only where there are none."""
+    size_bytes = stored_bytes(df) if size_bytes is None else size_bytes
     rows = df.agg(F.count("*").alias("row_count"))
     size = F.lit(size_bytes).cast("long") if size_bytes is not None else F.col("row_count") * FALLBACK_ROW_BYTES
     return rows.select(

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakestrata.operators.load import same_keys
 from lakestrata.functions.text import present
 
 # Tenths of a point per kind of match, the cap, and list lengths.
@@ -44,11 +45,11 @@ def search(catalog: DataFrame, keyword: str, filters: Mapping[str, str] | None =
     def hit(c: Column) -> Column:
         return F.lower(F.coalesce(c, F.lit(""))).contains(word)
 
-    # An entry without columns or tags is searched by the rest.
-    catalog = catalog.withColumns({c: F.coalesce(c, F.array().cast(catalog.schema[c].dataType)) for c in ("columns", "tags")})
-    by_name = F.filter("columns", lambda c: hit(c["name"]))
-    by_text = F.filter("columns", lambda c: hit(c["description"]))
-    by_tag = F.filter("tags", hit)
+    # An entry without columns or tags is searched by the rest, and comes back as it was.
+    filled = {c: F.coalesce(F.col(c), F.array().cast(catalog.schema[c].dataType)) for c in ("columns", "tags")}
+    by_name = F.filter(filled["columns"], lambda c: hit(c["name"]))
+    by_text = F.filter(filled["columns"], lambda c: hit(c["description"]))
+    by_tag = F.filter(filled["tags"], hit)
     points = (
         F.when(hit(F.col("table_name")), NAME).otherwise(0)
         + F.when(hit(F.col("full_name")), FULL_NAME).otherwise(0)
@@ -84,22 +85,29 @@ def _is_empty(c: Column, kind: T.DataType, name: str) -> Column:
     return c.isNull()
 
 
+#: What an update of a known entry may change; everything else (owner, status, when it was made, ...) stays as it is.
+UPDATED = ("description", "columns", "primary_keys", "foreign_keys", "row_count", "size_bytes", "tags", "updated_at", "layer", "category")
+
+
 def register(catalog: DataFrame, entries: DataFrame) -> DataFrame:
-    """Add new entries and update known ones: a new value wins unless it is empty.
+    """Add new entries and update known ones: in the fields ``UPDATED`` a new value wins unless it is empty.
 
     Empty is NULL, an empty text, list or map, the number 0, and the category ``other``. ``entries``
-    has one row per (connection_id, full_name).
+    has one row per (connection_id, full_name). The catalog is joined as the left side, so a small batch is broadcast
+    and the catalog is not moved; what is new to it comes from an anti join.
     """
-    values = [c for c in catalog.columns if c not in KEY]
-    known = catalog.withColumn("_known", F.lit(True))
-    news = entries.select(*KEY, *[F.col(c).alias(f"_n_{c}") for c in values], F.lit(True).alias("_new"))
-    both = known.join(news, KEY, "full_outer")
-    merged = []
-    for c in values:
-        new = F.col(f"_n_{c}")
-        takes = F.col("_known").isNull() | (F.col("_new").isNotNull() & ~_is_empty(new, catalog.schema[c].dataType, c))
-        merged.append(F.when(takes, new).otherwise(F.col(c)).alias(c))
-    return both.select(*KEY, *merged).select(*catalog.columns)
+    names = [f"_k_{k}" for k in KEY]
+    updated = [c for c in catalog.columns if c in UPDATED and c in entries.columns]
+    news = entries.select(*[F.col(k).alias(n) for k, n in zip(KEY, names)], *[F.col(c).alias(f"_n_{c}") for c in updated], F.lit(True).alias("_new"))
+    both = catalog.join(news, same_keys(KEY, names), "left")
+    merged = [
+        F.when(F.col("_new") & ~_is_empty(F.col(f"_n_{c}"), catalog.schema[c].dataType, c), F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c) if c in updated else F.col(c)
+        for c in catalog.columns
+    ]
+    known = catalog.select(*[F.col(k).alias(n) for k, n in zip(KEY, names)])
+    fresh = entries.join(known, same_keys(KEY, names), "left_anti")
+    given = [F.col(f.name) if f.name in entries.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in catalog.schema.fields]
+    return both.select(*merged).unionByName(fresh.select(*given))
 
 
 def statistics(catalog: DataFrame) -> DataFrame:

@@ -7,14 +7,14 @@ functions apply a strategy to a catalog table or a Parquet folder.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lakestrata.operators.windows import keep_latest, orderable
-from lakestrata.session import materialize, metric
+from lakestrata.session import materialize, metric, scratch_scope
 
 
 def latest_source(source: DataFrame, keys: Sequence[str], order_column: str | None = None) -> DataFrame:
@@ -25,15 +25,32 @@ def latest_source(source: DataFrame, keys: Sequence[str], order_column: str | No
     return keep_latest(source, keys, rest[0], rest[1:]) if rest else source.dropDuplicates(list(keys))
 
 
+def same_keys(left: Sequence[str], right: Sequence[str]) -> Column:
+    """Equal keys, null equal to null; Spark still joins by them."""
+    test = F.lit(True)
+    for a, b in zip(left, right):
+        test = test & F.col(a).eqNullSafe(F.col(b))
+    return test
+
+
+def _as_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Only the keys, under names that no table has, for ``same_keys``."""
+    return df.select(*[F.col(k).alias(f"_key_{k}") for k in keys])
+
+
+def _matching(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Rows of ``df`` with (left_semi) or without (left_anti) a row of the same keys in ``other``."""
+    return df.join(_as_keys(other, keys), same_keys(keys, [f"_key_{k}" for k in keys]), how)
+
+
 def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], order_column: str | None = None) -> DataFrame:
-    """Source rows replace target rows with the same key; new keys are added.
+    """Source rows replace target rows with the same key; new keys are added. Null is a key like others.
 
     The target is never sorted or aggregated: it passes through one anti join, which Spark runs
     without shuffling the target when the source is measured to be small.
     """
     changes = latest_source(source, keys, order_column).select(*target.columns)
-    untouched = target.join(changes.select(*keys), list(keys), "left_anti").select(*target.columns)
-    return untouched.unionByName(changes)
+    return _matching(target, changes, keys, "left_anti").unionByName(changes)
 
 
 def merge(
@@ -46,26 +63,26 @@ def merge(
 ) -> DataFrame:
     """Matched rows take ``update_columns`` from the source, unmatched source rows are added.
 
-    With ``delete_flag`` a true flag removes the matched row, and an unmatched flagged row is not
+    Null is a key like others. With ``delete_flag`` a true flag removes the matched row, and an unmatched flagged row is not
     added. Source columns are written as they are, NULL included.
     """
     keys = list(keys)
     updated = [c for c in (update_columns or target.columns) if c not in keys and c != delete_flag]
     src = latest_source(source, keys, order_column)
-    renamed = src.select(*keys, *[F.col(c).alias(f"_s_{c}") for c in src.columns if c not in keys], F.lit(True).alias("_hit"))
+    renamed = src.select(*[F.col(k).alias(f"_key_{k}") for k in keys], *[F.col(c).alias(f"_s_{c}") for c in src.columns if c not in keys], F.lit(True).alias("_hit"))
     gone = F.coalesce(F.col(delete_flag), F.lit(False)) if delete_flag else F.lit(False)
     gone_hit = F.coalesce(F.col(f"_s_{delete_flag}"), F.lit(False)) if delete_flag else F.lit(False)
 
     # The target is the streamed side of both joins, so a small source never makes it shuffle.
-    paired = target.join(renamed, keys, "left").where(~gone_hit)
+    paired = target.join(renamed, same_keys(keys, [f"_key_{k}" for k in keys]), "left").where(~gone_hit)
     kept = paired.select(
         *[
             F.when(F.col("_hit"), F.col(f"_s_{c}")).otherwise(F.col(c)).alias(c) if c in updated and c in src.columns else F.col(c)
             for c in target.columns
         ]
     )
-    matched = target.select(*keys).join(src.select(*keys), keys, "left_semi")
-    new = src.where(~gone).join(matched, keys, "left_anti")
+    matched = _matching(target.select(*keys), src, keys, "left_semi")
+    new = _matching(src.where(~gone), matched, keys, "left_anti")
     added = new.select(
         *[
             F.col(c) if c in src.columns else F.lit(None).cast(target.schema[c].dataType).alias(c)
@@ -121,27 +138,79 @@ def overwrite_partitions(df: DataFrame, table: str, partition: str, values: Sequ
         spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({partition} = '{literal}')")
 
 
+def _partition_columns(spark: SparkSession, table: str) -> list[str]:
+    return [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
+
+
 def swap_table(df: DataFrame, table: str) -> None:
-    """Write ``df`` beside a managed table and rename it into place.
+    """Write ``df`` beside an unpartitioned managed table and rename it into place.
 
-    ``df`` may read the table. Readers of the old name see the old rows until the rename.
+    ``df`` may read the table. The new one keeps the format, comment and properties. Readers of the old name see the old rows until the
+    rename, and the old table gets its name back if the new one cannot take it.
     """
     spark = df.sparkSession
     fresh, old = f"{table}_new_{uuid.uuid4().hex[:8]}", f"{table}_old_{uuid.uuid4().hex[:8]}"
-    df.write.saveAsTable(fresh)
+    spark.sql(f"CREATE TABLE {fresh} LIKE {table}")
+    described = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect()}
+    kept = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {table}").collect()}
+    quoted = lambda text: "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if described.get("Comment"):
+        kept["comment"] = described["Comment"]
+    if kept:
+        spark.sql(f"ALTER TABLE {fresh} SET TBLPROPERTIES ({', '.join(f'{quoted(k)} = {quoted(v)}' for k, v in kept.items())})")
+    df.select(*spark.table(fresh).columns).write.insertInto(fresh)
     spark.sql(f"ALTER TABLE {table} RENAME TO {old}")
-    spark.sql(f"ALTER TABLE {fresh} RENAME TO {table}")
+    try:
+        spark.sql(f"ALTER TABLE {fresh} RENAME TO {table}")
+    except Exception:
+        spark.sql(f"ALTER TABLE {old} RENAME TO {table}")
+        raise
     spark.sql(f"DROP TABLE {old}")
     spark.catalog.refreshTable(table)
 
 
+def _apply_to_partitions(source: DataFrame, table: str, partitions: list[str], keys: Sequence[str], change: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+    """Rewrite the partitions that hold a key of ``source``, or that a row of it belongs to; all others are not read beyond their keys.
+
+    The result is written to the scratch folder first and then put in place by dynamic overwrite, so the table keeps its format, partitioning, comment and
+    properties, and a rerun after a failure gives the same table. Partitions that end up without rows are dropped.
+    """
+    spark = source.sparkSession
+    with scratch_scope(spark):
+        source = materialize(source, "changes")
+        target = spark.table(table)
+        held = _matching(target.select(*dict.fromkeys([*keys, *partitions])), source, keys, "left_semi").select(*partitions)
+        arriving = source.select(*partitions) if set(partitions) <= set(source.columns) else held.limit(0)
+        touched = materialize(held.unionByName(arriving).distinct(), "touched")
+        if touched.where(" OR ".join(f"`{p}` IS NULL" for p in partitions)).count():
+            raise ValueError("a row without a partition value cannot be found again")
+        result = materialize(change(_matching(target, touched, partitions, "left_semi"), source).select(*target.columns), "result")
+        result.write.option("partitionOverwriteMode", "dynamic").insertInto(table, overwrite=True)
+        emptied = _matching(touched, result.select(*partitions).distinct(), partitions, "left_anti")
+        for row in emptied.select(*[F.col(p).cast("string").alias(p) for p in partitions]).collect():  # at most one row a partition
+            spec = ", ".join("{} = '{}'".format(p, row[p].replace("\\", "\\\\").replace("'", "\\'")) for p in partitions)
+            spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({spec})")
+    spark.catalog.refreshTable(table)
+
+
 def upsert_table(source: DataFrame, table: str, keys: Sequence[str], order_column: str | None = None) -> None:
-    """Upsert into an unpartitioned managed table, by write and swap."""
-    swap_table(upsert(source.sparkSession.table(table), source, keys, order_column), table)
+    """Upsert into a managed table: by write and swap, or partition by partition if it has any."""
+    spark = source.sparkSession
+    change = lambda target, changes: upsert(target, changes, keys, order_column)
+    if partitions := _partition_columns(spark, table):
+        _apply_to_partitions(latest_source(source, keys, order_column), table, partitions, keys, change)
+    else:
+        swap_table(change(spark.table(table), source), table)
 
 
 def merge_table(source: DataFrame, table: str, keys: Sequence[str], **options) -> None:
-    swap_table(merge(source.sparkSession.table(table), source, keys, **options), table)
+    """Merge into a managed table: by write and swap, or partition by partition if it has any."""
+    spark = source.sparkSession
+    change = lambda target, changes: merge(target, changes, keys, **options)
+    if partitions := _partition_columns(spark, table):
+        _apply_to_partitions(source, table, partitions, keys, change)
+    else:
+        swap_table(change(spark.table(table), source), table)
 
 
 def touched_partitions(source: DataFrame, partition: str) -> list:
@@ -174,7 +243,8 @@ def upsert_partitions(
     if None in values:
         raise ValueError("a change has no partition value, so its old row can't be found")
     stored = spark.read.schema(source.schema).parquet(path) if _exists(spark, path) else source.where(F.lit(False))
-    target = stored.where(F.col(partition).isin(values)).select(*source.columns)
+    target = stored.where(F.col(partition).isin(values) if len(values) <= 1_000 else F.col(partition).between(min(values), max(values)))
+    target = _matching(target, source.select(partition).distinct(), [partition], "left_semi").select(*source.columns)
     if newest_wins:
         if order_column is None:
             raise ValueError("newest_wins needs an order column")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakestrata.functions.text import glob_regex
+from lakestrata.session import materialize
 
 # Column-name fragments and the condition their columns must meet.
 CHECK_RULES = {"amount": ">= 0", "quantity": ">= 0", "rate": ">= 0 AND <= 1"}
@@ -105,7 +106,8 @@ def enforce(
     """Run the checks, publish the report, then act on it; returns (passing, quarantined) rows.
 
     A failed ``fail`` check raises, after the report is out. A failed ``warn`` check stays in the
-    report. Rows that break a failed ``skip`` check go to the quarantined frame.
+    report. Rows that break a failed ``skip`` check go to the quarantined frame. They are flagged in one pass and written once;
+    both frames read what was written.
     """
     report = run_checks(df, checks)
     if publish:
@@ -127,7 +129,8 @@ def enforce(
         for j, k in enumerate(c.columns):
             same = same & F.col(k).eqNullSafe(F.col(f"_k{i}_{j}"))
         flagged = flagged.join(repeated, same, "left").withColumn("_bad", F.col("_bad") | F.coalesce(F.col(f"_dup{i}"), F.lit(False)))
-    return flagged.where(~F.col("_bad")).select(*df.columns), flagged.where("_bad").select(*df.columns)
+    split = materialize(flagged.select(*df.columns, "_bad"), "flagged")
+    return split.where(~F.col("_bad")).select(*df.columns), split.where("_bad").select(*df.columns)
 
 
 def convention_checks(columns: Sequence[str], rules: Mapping[str, str] = CHECK_RULES) -> list[Check]:

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakestrata.operators.transform import fill_defaults, rename_snake, standardise_types
 from lakestrata.operators.windows import keep_latest
-from lakestrata.session import metric
+from lakestrata.session import delete_path, list_names
 
 
 def to_ods(source: DataFrame, etl_time: str, bizdate: str | Column, source_system: str | None = None) -> DataFrame:
@@ -87,47 +87,94 @@ def chain(source: DataFrame, plan: LayerPlan, etl_time: str, bizdate: str | Colu
     return Layers(ods, dwd, dws, to_ads(dws, plan.report))
 
 
-def run_day(source: DataFrame, plan: LayerPlan, etl_time: str, bizdate: str, folder: str) -> dict[str, str]:
-    """Run one date and write every layer; each layer reads back the layer below.
+LAYER_NAMES = ("ODS", "DWD", "DWS", "ADS")
+LEDGER = "run string, layer string, first string, last string, etl_time string"
 
-    Only the partition of ``bizdate`` is replaced, and removed when the run has no rows for it, so a
-    rerun is safe. Returns the layer paths.
+
+def _write_dates(rows: DataFrame, layer: str, path: str, first: str, last: str) -> None:
+    """Replace the partitions of all dates from ``first`` to ``last``; dates without rows end up absent.
+
+    Rows go in by dynamic overwrite. A folder of the range that holds the same files after the write as before was not written, so
+    its rows are from an earlier run and it goes. That is read from the listing alone, with the names that Spark gives the folders.
+    """
+    from lakestrata.sources.write import LAYER_STORAGE
+
+    spark = rows.sparkSession
+    unescape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+
+    def held() -> dict[str, set[str]]:
+        folders = (name for name in list_names(spark, path) if name.startswith("dt="))
+        return {f: list_names(spark, f"{path}/{f}") for f in folders if first <= unescape(f[3:]) <= last}
+
+    before = held()
+    storage = LAYER_STORAGE[layer]
+    writer = rows.write.format(storage.file_format).option("compression", storage.compression).mode("overwrite")
+    writer.partitionBy("dt").option("partitionOverwriteMode", "dynamic").save(path)
+    after = held()
+    for folder, files in before.items():
+        if after.get(folder) == files:
+            delete_path(spark, f"{path}/{folder}")
+
+
+def run_dates(
+    source: DataFrame, plan: LayerPlan, etl_time: str, first: str, last: str, folder: str, run: str | None = None
+) -> dict[str, str]:
+    """Write all four layers for the dates from ``first`` to ``last``; each layer reads back the layer below. Returns the layer paths.
+
+    ``source`` has its date as ``dt``. With a ``run`` name, finished layers are noted in a ledger beside the data, and a repeat of the
+    same run does only what is missing: after a failure it goes on at the layer that failed, after success it writes nothing.
     """
-    from lakestrata.sources.write import LAYER_STORAGE, write_layer
+    from lakestrata.sources.write import LAYER_STORAGE
 
+    paths = {layer: f"{folder}/{layer.lower()}" for layer in LAYER_NAMES}
     spark = source.sparkSession
-    paths = {layer: f"{folder}/{layer.lower()}" for layer in ("ODS", "DWD", "DWS", "ADS")}
+    ledger = f"{folder}/_ledger"
+    done = set()
+    if run is not None:
+        spark.createDataFrame([], LEDGER).write.mode("append").parquet(ledger)
+        done = {r["layer"] for r in spark.read.schema(LEDGER).parquet(ledger).where(F.col("run") == run).collect()}
 
     def stored(layer: str, like: DataFrame) -> DataFrame:
         reader = spark.read.format(LAYER_STORAGE[layer].file_format).schema(like.schema)
-        return on_date(reader.load(paths[layer]), bizdate)
-
-    def written(layer: str, rows: DataFrame, write: Callable[[DataFrame], None]) -> None:
-        seen = Observation()
-        write(rows.observe(seen, F.count(F.lit(1)).alias("n")))
-        if not metric(seen, "n"):
-            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{paths[layer]}/dt={bizdate}")
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-    ods = to_ods(source, etl_time, bizdate)
-    written("ODS", ods, lambda rows: write_layer(rows, "ODS", paths["ODS"]))
-    dwd = to_dwd(stored("ODS", ods), plan.keys, plan.order_column, plan.types, plan.defaults)
-    written("DWD", dwd, lambda rows: write_layer(rows, "DWD", paths["DWD"]))
-    dws = to_dws(stored("DWD", dwd), plan.dimensions, plan.metrics)
-    written("DWS", dws, lambda rows: write_layer(rows, "DWS", paths["DWS"]))
-    ads = to_ads(stored("DWS", dws), plan.report)
-    daily = lambda rows: rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(paths["ADS"])
-    written("ADS", ads, daily)
+        return reader.load(paths[layer]).where(F.col("dt").between(first, last))
+
+    raw = to_ods(source, etl_time, F.col("dt"))
+    steps = {
+        "ODS": lambda: raw,
+        "DWD": lambda: to_dwd(stored("ODS", raw), plan.keys, plan.order_column, plan.types, plan.defaults),
+        "DWS": lambda: to_dws(stored("DWD", steps["DWD"]()), plan.dimensions, plan.metrics),
+        "ADS": lambda: to_ads(stored("DWS", steps["DWS"]()), plan.report),
+    }
+    for layer, rows in steps.items():
+        if layer in done:
+            continue
+        _write_dates(rows(), layer, paths[layer], first, last)
+        if run is not None:
+            spark.createDataFrame([(run, layer, first, last, etl_time)], LEDGER).write.mode("append").parquet(ledger)
     return paths
 
 
-def backfill(source: DataFrame, plan: LayerPlan, etl_time: str, date_column: str, first: str, last: str) -> Layers:
-    """The chain over every date from ``first`` to ``last`` inclusive, as one job.
+def run_day(source: DataFrame, plan: LayerPlan, etl_time: str, bizdate: str, folder: str, run: str | None = None) -> dict[str, str]:
+    """Run one date and write every layer; see ``run_dates``."""
+    return run_dates(source.withColumn("dt", F.lit(bizdate)), plan, etl_time, bizdate, bizdate, folder, run)
 
-    The range is a comparison on the raw column, so the scan skips what lies outside.
-    """
+
+def _range_of(source: DataFrame, date_column: str, first: str, last: str) -> DataFrame:
+    """The rows of a range of dates, by a comparison on the raw column, so the scan skips what lies outside."""
     day = F.col(date_column)
     start = F.to_timestamp_ntz(F.lit(first))
     end = F.date_add(F.lit(last).cast("date"), 1).cast("timestamp_ntz")
-    window = source.where((day >= start) & (day < end))
-    return chain(window, plan, etl_time, F.date_format(day, "yyyy-MM-dd"))
+    return source.where((day >= start) & (day < end))
+
+
+def run_backfill(
+    source: DataFrame, plan: LayerPlan, etl_time: str, date_column: str, first: str, last: str, folder: str, run: str | None = None
+) -> dict[str, str]:
+    """Write every layer for every date from ``first`` to ``last`` inclusive, each layer as one job; see ``run_dates``."""
+    dated = _range_of(source, date_column, first, last).withColumn("dt", F.date_format(date_column, "yyyy-MM-dd"))
+    return run_dates(dated, plan, etl_time, first, last, folder, run)
+
+
+def backfill(source: DataFrame, plan: LayerPlan, etl_time: str, date_column: str, first: str, last: str) -> Layers:
+    """The chain over every date from ``first`` to ``last`` inclusive, as one job that writes nothing."""
+    return chain(_range_of(source, date_column, first, last), plan, etl_time, F.date_format(date_column, "yyyy-MM-dd"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -73,12 +75,36 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def delete_path(spark: SparkSession, path: str) -> bool:
+    """Delete a folder on whatever store it is; whether it was there."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def list_names(spark: SparkSession, path: str) -> set[str]:
+    """Names of what a folder holds, hidden ones left out; none if there is no such folder."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = (s.getPath().getName() for s in store.listStatus(target)) if store.exists(target) else ()
+    return {name for name in found if name[0] not in "._"}
+
+
 def release_scratch(spark: SparkSession) -> int:
     """Delete what this session wrote to scratch paths; call it once the results are stored."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     paths, _made[:] = list(_made), []
-    return sum(1 for p in paths if (target := hadoop(p)).getFileSystem(conf).delete(target, True))
+    return sum(1 for p in paths if delete_path(spark, p))
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete at its end what is written to scratch paths within it; nothing that is read later may depend on that."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        paths, _made[before:] = _made[before:], []
+        for p in paths:
+            delete_path(spark, p)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

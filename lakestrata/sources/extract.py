@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakestrata.operators.windows import keep_latest
+from lakestrata.session import materialize
+from lakestrata.sources.write import CSV_OPTIONS
 
 # Rows per fetch from a database, and the bounds of a sample.
 FETCH_SIZE = 100_000
 SAMPLE_MIN, SAMPLE_MAX = 1, 20
 PREVIEW_ROWS = 100
+CORRUPT = "_corrupt_record"
+_EMPTY = "\u0001"  # what two quotes are read as, for an empty text would be taken for null
 
 # Public JDBC URL forms by database kind. Doris speaks the MySQL protocol.
 JDBC_URLS = {
@@ -121,24 +125,39 @@ def extract_cdc(
     return latest.where(~F.coalesce(gone, F.lit(False))).drop(operation, sequence)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:
     """CSV with a header line, into an existing schema, columns matched by name.
 
     Only the header is read ahead. Columns of the schema that the file lacks become NULL, columns
-    it has besides are dropped, and a later file with another header is an error.
+    it has besides are dropped, and a later file with another header is an error. Cells that do not fit their type are NULL; ``read_csv_checked`` keeps such rows apart.
+    Values may hold line breaks; a file is then read by one task, so write large exports as several files, or give up line breaks with ``multi_line=False``.
     """
-    header = spark.read.option("header", True).csv(path).columns
+    return _parse_csv(spark, path, schema, multi_line).drop(CORRUPT)
+
+
+def read_csv_checked(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The rows that fit the schema, and of all others the file and the text as it stands there."""
+    parsed = materialize(_parse_csv(spark, path, schema, multi_line).withColumn("file", F.input_file_name()), "csv")
+    held = parsed.where(F.col(CORRUPT).isNotNull()).select("file", F.col(CORRUPT).alias("record"))
+    return parsed.where(F.col(CORRUPT).isNull()).drop(CORRUPT, "file"), held
+
+
+def _parse_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool) -> DataFrame:
+    options = {**CSV_OPTIONS, "emptyValue": _EMPTY, "multiLine": str(multi_line).lower(), "columnNameOfCorruptRecord": CORRUPT}
+    header = spark.read.options(**options).csv(path).columns
     wanted = {f.name.lower(): f for f in schema.fields}
     found = [wanted.get(h.lower(), T.StructField(h, T.StringType())) for h in header]
-    in_file = T.StructType([T.StructField(h, f.dataType, True) for h, f in zip(header, found)])
-    raw = spark.read.option("header", True).option("enforceSchema", False).schema(in_file).csv(path)
+    in_file = T.StructType([*(T.StructField(h, f.dataType, True) for h, f in zip(header, found)), T.StructField(CORRUPT, T.StringType())])
+    raw = spark.read.options(**options).option("enforceSchema", False).schema(in_file).csv(path)
     have = {h.lower(): h for h in header}
-    return raw.select(
-        *[
-            (F.col(f"`{have[f.name.lower()]}`") if f.name.lower() in have else F.lit(None).cast(f.dataType)).alias(f.name)
-            for f in schema.fields
-        ]
-    )
+
+    def value(f: T.StructField) -> Column:
+        if f.name.lower() not in have:
+            return F.lit(None).cast(f.dataType)
+        c = F.col(f"`{have[f.name.lower()]}`")
+        return F.when(c == _EMPTY, "").otherwise(c) if isinstance(f.dataType, T.StringType) else c
+
+    return raw.select(*[value(f).alias(f.name) for f in schema.fields], CORRUPT)
 
 
 def preview(df: DataFrame, max_rows: int = PREVIEW_ROWS) -> DataFrame:

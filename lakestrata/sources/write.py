@@ -94,9 +94,15 @@ def export_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> Non
     df.write.mode(mode).parquet(path)
 
 
+#: How CSV is written and read back: quotes are doubled, blanks stay, null is nothing and an empty text is two quotes.
+CSV_OPTIONS = {
+    "header": "true", "quote": '"', "escape": '"', "nullValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+}
+
+
 def export_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """CSV part files, each with a header line."""
-    df.write.mode(mode).option("header", True).csv(path)
+    """CSV part files, each with a header line; ``read_csv`` gives the same rows back."""
+    df.write.mode(mode).options(**CSV_OPTIONS).option("emptyValue", '""').csv(path)
 
 
 def write_layer(df: DataFrame, layer: str, path: str, partition_by: Sequence[str] = ("dt",), mode: str = "overwrite") -> None:

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from lakestrata.operators.load import upsert_partitions
 from lakestrata.plans.layered import to_ods
+from lakestrata.session import delete_path, list_names, scratch_scope
 
 
 def file_stream(
@@ -59,11 +60,23 @@ def upsert_into(
 ) -> None:
     """Keep the newest row per key in a partitioned folder.
 
-    A batch replayed after a failure changes nothing, since the newest row wins on both sides.
+    A batch replayed after a failure changes nothing: the number of the last batch that was applied is kept in the
+    checkpoint folder, so it is skipped, and if it failed halfway the newest row wins on both sides. What a batch writes to the scratch folder
+    goes with it.
     """
+    applied = f"{checkpoint.rstrip('/')}/applied"
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        upsert_partitions(batch, path, keys, partition, order_column, newest_wins=True)
+        spark = batch.sparkSession
+        known = {int(name.removeprefix("batch-")) for name in list_names(spark, applied)}
+        if known and batch_id <= max(known):
+            return
+        with scratch_scope(spark):
+            upsert_partitions(batch, path, keys, partition, order_column, newest_wins=True)
+        mark = spark._jvm.org.apache.hadoop.fs.Path(f"{applied}/batch-{batch_id}")
+        mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(mark).close()
+        for old in known:
+            delete_path(spark, f"{applied}/batch-{old}")
 
     drain(stream.writeStream.foreachBatch(apply), checkpoint)
 

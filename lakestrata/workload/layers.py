@@ -113,6 +113,23 @@ def layer_chain_day(t):
     """,
 )
 def layer_backfill(t):
+    """Written, run again under another name, and once more under the first one, which writes nothing."""
+    folder = scratch_path(t.spark, "backfill")
+    for run in ("first", "again", "first"):
+        paths = L.run_backfill(t.events, _event_plan(), ETL_TIME, "ts", "2024-01-03", "2024-01-27", folder, run)
+    return t.spark.read.schema("event_type string, n_users bigint, last_value double, dt string").parquet(paths["ADS"])
+
+
+@query(
+    "layer_backfill_plan",
+    "M7",
+    f"""
+    WITH {_LAST_EVENT}
+    SELECT event_type, dt, COUNT(*) AS n_users, CAST(SUM(COALESCE(CAST(value AS DECIMAL(18,2)), 0)) AS DOUBLE) AS last_value
+    FROM dwd WHERE dt BETWEEN '2024-01-03' AND '2024-01-27' GROUP BY event_type, dt
+    """,
+)
+def layer_backfill_plan(t):
     return L.backfill(t.events, _event_plan(), ETL_TIME, "ts", "2024-01-03", "2024-01-27").ads
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,7 +14,7 @@ from lakestrata.plans.run_log import run_step
 from lakestrata.sources import extract as X
 from lakestrata.sources import generate as G
 from lakestrata.sources import write as W
-from lakestrata.session import scratch_path
+from lakestrata.session import materialize, scratch_path
 from lakestrata.workload import query
 
 
@@ -69,6 +72,22 @@ def extract_cdc(t):
     return X.extract_cdc(log, ["o_custkey"], "seq", "op")
 
 
+@contextmanager
+def _table(t, label: str, rows, partition_by=()):
+    """A catalog table of its own for the time of a query, in the scratch folder."""
+    name = f"lakestrata_{label}_{uuid.uuid4().hex[:8]}"
+    rows.write.partitionBy(*partition_by).option("path", scratch_path(t.spark, label)).saveAsTable(name)
+    try:
+        yield name
+    finally:
+        t.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _copied(t, name: str):
+    """The rows that a table holds now, written out: the table is dropped before they are read."""
+    return materialize(t.spark.table(name), "table")
+
+
 # The change set: suppliers arrive as customers, and building customers get a new balance.
 _CHANGES = """
     src AS (SELECT c_custkey, c_name, c_nationkey, c_acctbal + 1000 AS c_acctbal, c_mktsegment, c_acctbal < 0 AS gone
@@ -127,10 +146,10 @@ def merge_customers(t):
     """,
 )
 def append_rows(t):
-    path = scratch_path(t.spark, "append")
-    W.export_parquet(t.customer, path)
-    W.export_parquet(_changes(t).select(*t.customer.columns), path, "append")
-    return t.spark.read.schema(t.customer.schema).parquet(path)
+    changes = _changes(t).select("c_mktsegment", "c_name", "c_custkey", "c_nationkey", "c_acctbal")
+    with _table(t, "appended", t.customer) as name:
+        L.append_table(changes, name)
+        return _copied(t, name)
 
 
 @query(
@@ -141,12 +160,36 @@ def append_rows(t):
     """,
 )
 def overwrite_partition(t):
-    path = scratch_path(t.spark, "overwrite")
-    rows = t.orders.select("o_orderkey", "o_totalprice", "o_orderstatus")
-    W.write_layer(rows, "DWD", path, ["o_orderstatus"])
-    doubled = rows.where("o_orderstatus = 'F'").withColumn("o_totalprice", F.col("o_totalprice") * 2)
-    W.write_layer(doubled, "DWD", path, ["o_orderstatus"])
-    return t.spark.read.schema(rows.schema).parquet(path)
+    orders = t.orders.select("o_orderkey", "o_totalprice", "o_orderstatus")
+    by_code = orders.withColumn("code", F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 2).otherwise(3))
+    doubled = by_code.where("code = 1").withColumn("o_totalprice", F.col("o_totalprice") * 2)
+    with _table(t, "overwritten", by_code, ["code"]) as name:
+        for _ in range(2):
+            L.overwrite_partitions(doubled, name, "code", ["01"])
+        return _copied(t, name).drop("code")
+
+
+@query(
+    "upsert_partitioned_table",
+    "S16 S17",
+    f"""
+    WITH {_CHANGES}, changed AS (SELECT * FROM src UNION ALL SELECT NULL, 'nobody', NULL, 0, 'NEW', FALSE)
+    SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer c WHERE NOT EXISTS (SELECT 1 FROM changed s WHERE s.c_custkey = c.c_custkey)
+    UNION ALL SELECT c_custkey, c_name, c_nationkey, c_acctbal, CASE WHEN gone THEN 'MOVED' ELSE c_mktsegment END FROM changed
+    """,
+)
+def upsert_partitioned_table(t):
+    """Changes that move rows to other partitions, one with a null key, applied twice."""
+    changes = _changes(t)
+    nobody = t.spark.range(1).select(
+        F.lit(None).cast("bigint").alias("c_custkey"), F.lit("nobody").alias("c_name"), F.lit(None).alias("c_nationkey"), F.lit(0.0).alias("c_acctbal"),
+        F.lit("NEW").alias("c_mktsegment"), F.lit(False).alias("gone"),
+    )
+    moved = changes.unionByName(nobody).withColumn("c_mktsegment", F.when(F.col("gone"), "MOVED").otherwise(F.col("c_mktsegment"))).drop("gone")
+    with _table(t, "upserted", t.customer, ["c_mktsegment"]) as name:
+        for _ in range(2):
+            L.upsert_table(moved, name, ["c_custkey"])
+        return _copied(t, name).select(*t.customer.columns)
 
 
 @query("replace_rows", "S18", "SELECT s_suppkey, s_name FROM supplier")
@@ -174,14 +217,14 @@ def upsert_partitions(t):
     return t.spark.read.schema(rows.schema).parquet(path)
 
 
-@query("csv_round_trip", "S7 S10", "SELECT c_custkey, c_acctbal, c_name FROM customer")
+@query("csv_round_trip", "S7 S10", "SELECT doc_id, n_chars, text, CASE WHEN doc_id % 3 > 0 THEN lang END AS lang FROM documents")
 def csv_round_trip(t):
+    """Whole texts with line breaks, quotes and blanks, and null cells."""
     path = scratch_path(t.spark, "csv")
-    W.export_csv(t.customer, path)
-    wanted = T.StructType(
-        [T.StructField("c_custkey", T.LongType()), T.StructField("c_acctbal", T.DoubleType()), T.StructField("c_name", T.StringType())]
-    )
-    return X.read_csv(t.spark, path, wanted)
+    W.export_csv(t.documents.withColumn("lang", F.when(F.col("doc_id") % 3 > 0, F.col("lang"))).repartition(4), path)
+    kinds = {"doc_id": T.LongType(), "n_chars": T.LongType(), "text": T.StringType(), "lang": T.StringType()}
+    good, _ = X.read_csv_checked(t.spark, path, T.StructType([T.StructField(c, k) for c, k in kinds.items()]))
+    return good
 
 
 @query("parquet_round_trip", "S9", "SELECT p_partkey, p_brand, p_retailprice FROM part")
@@ -215,8 +258,12 @@ def materialised_query(t):
         SELECT o_orderpriority, count(*) AS n_orders, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS amount
         FROM lakestrata_closed GROUP BY o_orderpriority
     """
-    W.create_table_as(t.spark, "ads_priority_sales", sql, "closed orders by priority", scratch_path(t.spark, "ctas"))
-    return t.spark.table("ads_priority_sales")
+    name = f"ads_priority_sales_{uuid.uuid4().hex[:8]}"
+    W.create_table_as(t.spark, name, sql, "closed orders by priority", scratch_path(t.spark, "ctas"))
+    try:
+        return _copied(t, name)
+    finally:
+        t.spark.sql(f"DROP TABLE {name}")
 
 
 @query(

@@ -48,7 +48,8 @@ def stream_dedup(t):
 def stream_upsert(t):
     path, checkpoint = scratch_path(t.spark, "upsert"), scratch_path(t.spark, "upsert-checkpoint")
     rows = _events(t).select("user_id", "ts", "event_id", "event_type", N.day_key("ts").alias("dt"))
-    S.upsert_into(rows, path, checkpoint, ["user_id", "dt"], "dt", "ts")
+    for name in (checkpoint, f"{checkpoint}-replay"):  # all files once more, as after a lost checkpoint
+        S.upsert_into(rows, path, name, ["user_id", "dt"], "dt", "ts")
     return t.spark.read.schema("user_id bigint, event_id bigint, event_type string, dt string").parquet(path)
 
 

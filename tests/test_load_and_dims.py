@@ -72,6 +72,49 @@ def test_upsert_partitions_leaves_other_partitions_alone(spark, tmp_path):
         L.upsert_partitions(df, path, ["k"], "p")
 
 
+def test_null_keys_are_keys(spark):
+    target = frame(spark, [(None, "old", 1), (1, "a", 1)])
+    source = frame(spark, [(None, "new", 2)])
+    once = L.upsert(target, source, ["k"])
+    assert rows(once) == rows(L.upsert(once, source, ["k"])) == sorted([(1, "a", 1), (None, "new", 2)], key=repr)
+    assert rows(L.merge(target, source, ["k"], ["v"])) == sorted([(1, "a", 1), (None, "new", 1)], key=repr)
+
+
+def test_partitioned_tables_stay_what_they_are(spark):
+    spark.sql("DROP TABLE IF EXISTS t_parts")
+    spark.sql("CREATE TABLE t_parts (k int, v string, p int) USING orc PARTITIONED BY (p) COMMENT 'it''s kept' TBLPROPERTIES ('owner.name' = 'x')")
+    L.append_table(spark.createDataFrame([(1, "a", 1), (2, "b", 2), (3, "c", 3), (None, "n", 3)], "k int, v string, p int"), "t_parts")
+    moved = spark.createDataFrame([(2, "moved", 4), (None, "m", 3), (5, "new", 1)], "k int, v string, p int")
+    untouched = spark.table("t_parts").where("p = 1").inputFiles()
+    for _ in range(2):
+        L.upsert_table(moved, "t_parts", ["k"])
+        assert rows(spark.table("t_parts")) == sorted([(1, "a", 1), (5, "new", 1), (3, "c", 3), (None, "m", 3), (2, "moved", 4)], key=repr)
+    assert {r["partition"] for r in spark.sql("SHOW PARTITIONS t_parts").collect()} == {"p=1", "p=3", "p=4"}
+    L.merge_table(spark.createDataFrame([(3, None, True), (None, None, True)], "k int, v string, gone boolean"), "t_parts", ["k"], delete_flag="gone")
+    assert rows(spark.table("t_parts")) == sorted([(1, "a", 1), (5, "new", 1), (2, "moved", 4)], key=repr)
+    assert {r["partition"] for r in spark.sql("SHOW PARTITIONS t_parts").collect()} == {"p=1", "p=4"}
+    described = {r["col_name"]: r["data_type"] for r in spark.sql("DESCRIBE TABLE EXTENDED t_parts").collect()}
+    assert described["Comment"] == "it's kept" and described["Provider"] == "orc"
+    assert {r["key"]: r["value"] for r in spark.sql("SHOW TBLPROPERTIES t_parts").collect()}["owner.name"] == "x"
+    with pytest.raises(ValueError):
+        L.upsert_table(spark.createDataFrame([(9, "x", None)], "k int, v string, p int"), "t_parts", ["k"])
+    assert untouched and spark.table("t_parts").count() == 3
+    spark.sql("DROP TABLE t_parts")
+
+
+def test_swapped_tables_keep_comment_and_properties(spark):
+    spark.sql("DROP TABLE IF EXISTS t_kept")
+    spark.sql("CREATE TABLE t_kept (k int, v string, ts int) USING orc COMMENT 'about' TBLPROPERTIES ('a.b' = 'it''s')")
+    L.append_table(frame(spark, [(1, "a", 1), (None, "n", 1)]), "t_kept")
+    for _ in range(2):
+        L.upsert_table(frame(spark, [(None, "m", 2), (2, "b", 1)]), "t_kept", ["k"])
+    assert rows(spark.table("t_kept")) == sorted([(1, "a", 1), (None, "m", 2), (2, "b", 1)], key=repr)
+    described = {r["col_name"]: r["data_type"] for r in spark.sql("DESCRIBE TABLE EXTENDED t_kept").collect()}
+    assert described["Comment"] == "about" and described["Provider"] == "orc"
+    assert {r["key"]: r["value"] for r in spark.sql("SHOW TBLPROPERTIES t_kept").collect()}["a.b"] == "it's"
+    spark.sql("DROP TABLE t_kept")
+
+
 def test_newest_wins_in_any_batch_order(spark, tmp_path):
     batches = [[(1, "new", 5, "x")], [(1, "old", 3, "x"), (2, "b", 1, "x")]]
     results = []

@@ -186,6 +186,15 @@ def test_catalog_register_keeps_old_values_for_empty_ones(spark):
     assert merged["u"]["category"] == "other"
 
 
+def test_catalog_register_leaves_other_fields_alone(spark):
+    kind = "connection_id string, full_name string, description string, owner string, status string, size_bytes long"
+    old = spark.createDataFrame([("c", "t", "old", "ann", "active", 5), (None, "n", "d", "bob", "x", 1)], kind)
+    new = spark.createDataFrame([("c", "t", "new", "eve", "gone", 0), (None, "n", "e", None, None, 2), ("c", "u", None, "eve", "new", 0)], kind)
+    found = K.register(old, new)
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted([("c", "t", "new", "ann", "active", 5), (None, "n", "e", "bob", "x", 2), ("c", "u", None, "eve", "new", 0)], key=repr)
+    assert "FullOuter" not in found._jdf.queryExecution().toString()
+
+
 def test_route_ties_and_misses(spark):
     df = spark.createDataFrame([("查询 重复",), ("DDL",), ("hello",), (None,)], "text string")
     got = [(r["label"], r["score"]) for r in R.route(df, "text").collect()]

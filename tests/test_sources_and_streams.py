@@ -46,6 +46,23 @@ def test_watermark_stays_when_nothing_is_new(spark):
     assert fresh.isEmpty() and mark.first()[0] == 20
 
 
+def test_csv_gives_the_same_rows_back(spark, tmp_path):
+    texts = ["two\nlines", "cr\r\nlf", "lone\rcr", " blanks ", "", None, 'say "hi"', "a,b", "back\\slash", '\\"', "#no comment", '"', "\t", "N", "ä\u2028ö", "''", "NaN"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(2)
+    W.export_csv(df, str(tmp_path / "out"))
+    assert rows(X.read_csv(spark, str(tmp_path / "out"), df.schema)) == rows(df)
+    good, held = X.read_csv_checked(spark, str(tmp_path / "out"), df.schema)
+    assert rows(good) == rows(df) and held.collect() == []
+
+
+def test_bad_csv_rows_are_held_back(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,name\n1,a\nx,b\n2,"c\nd"\n3,e,too many\n4\n')
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType())])
+    good, held = X.read_csv_checked(spark, str(tmp_path), schema)
+    assert rows(good) == [(1, "a"), (2, "c\nd")]
+    assert sorted(r["record"].strip() for r in held.collect()) == ["3,e,too many", "4", "x,b"] and held.first()["file"].endswith("a.csv")
+
+
 def test_sample_bounds(spark):
     assert [X.sample_head(spark.range(50), n).count() for n in (-1, 5, 99)] == [1, 5, 20]
     assert X.preview(spark.range(500)).count() == 100
@@ -151,6 +168,62 @@ def test_layer_run_is_idempotent_and_keeps_other_days(spark, tmp_path):
     assert rows(ads) == [("b", 2, "2024-01-01"), ("b", 2, "2024-01-02")]
 
 
+def event_plan():
+    return P.LayerPlan(("id",), "ts", ("kind",), (F.count("*").alias("n"),), ("kind", "n"))
+
+
+def written(spark, paths):
+    return {layer: {str(r["dt"]) for r in spark.read.format(W.LAYER_STORAGE[layer].file_format).load(path).select(F.col("dt").cast("string").alias("dt")).collect()} for layer, path in paths.items()}
+
+
+def test_dates_with_odd_names_are_replaced_and_removed(spark, tmp_path):
+    source = spark.createDataFrame([(1, "a", 1)], "id int, kind string, ts int")
+    for date in ("2024-01-01 10:00", "a/b=c%d"):
+        folder = str(tmp_path / f"odd-{len(date)}")
+        paths = P.run_day(source, event_plan(), "2024-01-03 00:00:00", date, folder)
+        assert all(dates == {date} for dates in written(spark, paths).values())
+        P.run_day(source, event_plan(), "2024-01-03 00:00:00", date, folder)
+        P.run_day(source.limit(0), event_plan(), "2024-01-03 00:00:00", date, folder)
+        assert all(not any("dt=" in str(p) for p in (tmp_path / f"odd-{len(date)}" / layer.lower()).iterdir()) for layer in paths)
+
+
+def test_written_backfill_is_repeated_resumed_and_cleared(spark, tmp_path):
+    kind, folder = "id int, kind string, ts timestamp_ntz", str(tmp_path / "wh")
+    day = lambda n, hour=3: dt.datetime(2024, 1, n, hour)
+    source = spark.createDataFrame([(1, "a", day(1)), (1, "b", day(2)), (2, "b", day(2, 4)), (2, "c", day(4)), (9, "z", day(9))], kind)
+    run = lambda rows, name: P.run_backfill(rows, event_plan(), "2024-02-01 00:00:00", "ts", "2024-01-01", "2024-01-05", folder, name)
+    paths = run(source, "one")
+    ads = lambda: rows(spark.read.schema("kind string, n bigint, dt string").parquet(paths["ADS"]))
+    want = [("a", 1, "2024-01-01"), ("b", 2, "2024-01-02"), ("c", 1, "2024-01-04")]
+    assert ads() == want
+    files = lambda: sorted(str(p) for p in (tmp_path / "wh").rglob("part-*") if "_ledger" not in str(p))
+    before = files()
+    run(source, "one")  # done already: nothing is written
+    assert files() == before
+    P.run_day(source, event_plan(), "2024-02-01 00:00:00", "2024-01-09", folder)  # outside of the range
+    # Killed between two layers: the same run goes on where it stopped, with what it has written.
+    real, calls = P._write_dates, []
+
+    def dies(rows_, layer, *args):
+        calls.append(layer)
+        if calls == ["ODS", "DWD", "DWS"]:
+            raise RuntimeError("killed")
+        real(rows_, layer, *args)
+
+    P._write_dates = dies
+    later = source.where("ts <> timestamp_ntz'2024-01-04 03:00:00'")  # the fourth is empty now
+    try:
+        with pytest.raises(RuntimeError):
+            run(later, "two")
+        assert ads() == sorted([*want, *[r for r in ads() if r[2] == "2024-01-09"]])
+        run(later, "two")
+    finally:
+        P._write_dates = real
+    assert calls == ["ODS", "DWD", "DWS", "DWS", "ADS"]
+    assert [r for r in ads() if r[2] < "2024-01-09"] == want[:2]
+    assert all(dates == {"2024-01-01", "2024-01-02", "2024-01-09"} for dates in written(spark, paths).values())
+
+
 EVENTS = "event_id int, user_id int, ts timestamp_ntz, kind string"
 
 
@@ -212,6 +285,24 @@ def test_stream_upsert_over_several_batches(spark, tmp_path):
     assert rows(spark.read.parquet(out).select("user_id", "kind")) == [(7, "new"), (8, "y")]
 
 
+def test_stream_upsert_skips_what_it_applied_and_frees_its_scratch(spark, tmp_path, monkeypatch):
+    src, out, mark = (str(tmp_path / n) for n in ("src", "out", "mark"))
+    schema = spark.createDataFrame([], EVENTS).schema
+    given = {"once": lambda: S.file_stream(spark, src, schema, files_per_batch=1).withColumn("dt", F.date_format("ts", "yyyy-MM-dd"))}
+    made = len(session._made)
+    for n in range(3):
+        drop(spark, src, [(n, 7, at(n + 1), f"v{n}")])
+        S.upsert_into(given["once"](), out, mark, ["user_id", "dt"], "dt", "ts")
+    assert len(session._made) == made and [p.name for p in (tmp_path / "mark" / "applied").iterdir() if p.name[0] != "."] == ["batch-2"]
+    calls = []
+    monkeypatch.setattr(S, "upsert_partitions", lambda *a, **k: calls.append(a))
+    for note in (tmp_path / "mark" / "commits").glob("*2*"):  # as if the job had died before it noted the batch
+        note.unlink()
+    S.upsert_into(given["once"](), out, mark, ["user_id", "dt"], "dt", "ts")
+    assert calls == []
+    assert rows(spark.read.parquet(out).select("kind")) == [("v2",)]
+
+
 def test_scratch_folder_is_the_configured_one(spark):
     assert session.scratch_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
     df = session.materialize(spark.range(3), "probe")

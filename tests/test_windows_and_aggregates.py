@@ -93,6 +93,9 @@ def test_infer_rollup_follows_the_type_rule():
     assert plan == A.InferredRollup(("created_at",), ("amount",), ("user_id",))
     numbers = T.StructType([T.StructField("n", T.LongType()), T.StructField("m", T.DoubleType())])
     assert A.infer_rollup(numbers).dimensions == ("n",)
+    odd = T.StructType([T.StructField("point", T.StructType([T.StructField("a", T.IntegerType())])), T.StructField("span", T.DayTimeIntervalType()), T.StructField("s", T.ShortType()),
+                        T.StructField("ints", T.ArrayType(T.IntegerType()))])
+    assert A.infer_rollup(odd) == A.InferredRollup(("point", "span", "ints"), (), ("s",))
 
 
 def test_rollup_rejects_mixed_grains():
@@ -131,6 +134,13 @@ def test_table_statistics_of_an_empty_table(spark):
     }
 
 
+def test_table_size_is_that_of_its_files(spark, tmp_path):
+    spark.range(1000).repartition(3).write.parquet(str(tmp_path / "t"))
+    size = sum(f.stat().st_size for f in (tmp_path / "t").glob("*.parquet"))
+    found = A.table_statistics(spark.read.parquet(str(tmp_path / "t")), "t").first()
+    assert (found["row_count"], found["size_bytes"], found["avg_row_bytes"]) == (1000, size, size / 1000)
+
+
 def test_names(spark):
     cases = {"OrderDetails": "order_details", "user-login-log": "user_login_log", "  Some Table  ": "some_table", "a__b": "a_b"}
     df = spark.createDataFrame([(k,) for k in cases], "n string")
