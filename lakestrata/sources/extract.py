@@ -130,7 +130,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: b
 
     Only the header is read ahead. Columns of the schema that the file lacks become NULL, columns
     it has besides are dropped, and a later file with another header is an error. Cells that do not fit their type are NULL; ``read_csv_checked`` keeps such rows apart.
-    Values may hold line breaks; a file is then read by one task, so write large exports as several files, or give up line breaks with ``multi_line=False``.
+    Values may hold line breaks; a file is then read by one task, so write large exports as several files, as ``export_csv`` does, or give up line breaks with ``multi_line=False``.
     """
     return _parse_csv(spark, path, schema, multi_line).drop(CORRUPT)
 

@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Storage format, compression and retention in days per layer; 0 keeps for ever.
 @dataclass(frozen=True)
@@ -100,9 +102,18 @@ CSV_OPTIONS = {
 }
 
 
-def export_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """CSV part files, each with a header line; ``read_csv`` gives the same rows back."""
-    df.write.mode(mode).options(**CSV_OPTIONS).option("emptyValue", '""').csv(path)
+FILE_BYTES = 32 << 20  # text of a CSV file; one with line breaks is read by one task
+
+
+def export_csv(df: DataFrame, path: str, mode: str = "errorifexists", file_bytes: int = FILE_BYTES) -> None:
+    """CSV part files, each with a header line; ``read_csv`` gives the same rows back.
+
+    Rows are dealt to as many files as their texts need at ``file_bytes`` each, for a file whose values hold line breaks cannot be split.
+    """
+    texts = [F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    size = df.agg(F.sum(sum(texts, F.lit(16 * len(df.columns)).cast("long")))).first()[0] or 0
+    files = df.repartition(-(-size // file_bytes)) if size else df
+    files.write.mode(mode).options(**CSV_OPTIONS).option("emptyValue", '""').csv(path)
 
 
 def write_layer(df: DataFrame, layer: str, path: str, partition_by: Sequence[str] = ("dt",), mode: str = "overwrite") -> None:
