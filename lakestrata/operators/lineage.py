@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lakestrata.functions import statements as S
 from lakestrata.operators.audit import placement_problems
 from lakestrata.operators.load import upsert
-from lakestrata.session import materialize, scratch_path
+from lakestrata.session import deal, materialize, scratch_path
 
 # Statement shapes that name a target, tried in this order.
 TARGET_PATTERNS = (
@@ -213,7 +213,7 @@ def store_edges(edges: DataFrame, direction: str = "downstream", buckets: int |
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = edges.select(F.col(near).alias("near"), F.col(far).alias("far")).where("near IS NOT NULL AND far IS NOT NULL")
     rows = rows.withColumn("bucket", _bucket(F.col("near"), buckets)).withColumn("part", _bucket(F.col("far"), SPREAD))
-    different = rows.repartition("bucket", "part").dropDuplicates(["bucket", "part", "near", "far"]).drop("part")
+    different = deal(rows, "bucket", "part").dropDuplicates(["bucket", "part", "near", "far"]).drop("part")
     path = scratch_path(spark, "edges")
     different.sortWithinPartitions("bucket", "near").write.partitionBy("bucket").parquet(path)
     return EdgeStore(spark.read.schema("near string, far string, bucket int").parquet(path), buckets)
@@ -420,7 +420,7 @@ def flow_problems(
     A target without a layer is reported once and not examined further. Otherwise its name is
     checked against its layer, and each source must have a layer that may feed the target's.
     """
-    flow = edges.select("src", "dst").distinct()
+    flow = materialize(deal(edges.select("src", "dst"), "src", "dst").distinct(), "flow")
     src_layer = layers.select(F.col("table_name").alias("src"), F.col("layer").alias("src_layer"))
     dst_layer = layers.select(F.col("table_name").alias("dst"), F.col("layer").alias("dst_layer"))
     placed = flow.join(src_layer, "src", "left").join(dst_layer, "dst", "left")
