@@ -235,7 +235,9 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 
     def best_of(stars: DataFrame) -> DataFrame:
         """For each doc_id the leader with the nearest sketch, as a pair."""
-        tried = stars.join(sketches.alias("a"), "doc_id").join(sketches.withColumnRenamed("doc_id", "leader").alias("b"), "leader").where(may_match("a", "b"))
+        # A document's sketch joins its list of leaders, of which there are few, and not every one of them.
+        listed = stars.groupBy("doc_id").agg(F.collect_set("leader").alias("leaders")).join(sketches, "doc_id")
+        tried = listed.select("doc_id", "n_shingles", "sketch", F.explode("leaders").alias("leader")).alias("a").join(sketches.withColumnRenamed("doc_id", "leader").alias("b"), "leader").where(may_match("a", "b"))
         best = tried.groupBy("doc_id").agg(F.min(F.struct(close_sketches("a.sketch", "b.sketch").alias("bits"), "leader")).alias("best"))
         return best.select(F.least("doc_id", "best.leader").alias("u"), F.greatest("doc_id", "best.leader").alias("v")).distinct()
 
@@ -246,7 +248,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
         mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
         return materialize(placed.join(mixed, "key"), "open")
 
-    stars = crowded.where("doc_id <> leader").select("doc_id", "leader").distinct()
+    stars = crowded.where("doc_id <> leader").select("doc_id", "leader")
     links = materialize(confirm(best_of(stars), docs), "links")
     # The smallest member need not be the one that a group has most in common with: some others, by hash.
     rest = still_open(links)
