@@ -49,8 +49,9 @@ _EDGE_SEPARATORS = "".join(sorted(SEPARATORS))
 _FOLDED = {c: x[0] for c, x in LOOKALIKES.items()} | {c: "" for c in SEPARATORS} | {"l": "i", "£": "i"}
 _FOLD = str.maketrans(_FOLDED)
 _REPEAT = re.compile(r"(.)\1+", re.S)
-_REPEAT_WITHIN = re.compile(r"([^\n])\1+")
 _DRAWN_OUT = re.compile(r"(.)\1{2,}", re.S)
+_NO_LETTER = "(?![a-zß-öø-ɏ])"  # not before one of these, which all are letters
+TRIED, DEEPEST = 64, 12  # tokens and beginnings of words that one pattern looks for, in signs; longer ones are looked at each
 #: Signs that a word may begin behind: behind a separator that another one follows it begins later.
 _WORD_MAY_FOLLOW = re.compile(rf"[\W\d_](?={_SIGN})")
 
@@ -179,6 +180,49 @@ def folded(token: str) -> str:
     return _REPEAT.sub(r"\1", token.translate(_FOLD))
 
 
+def may_count(whole: set[str], prefixes: set[str]) -> re.Pattern:
+    """Finds, in tokens of at most ``TRIED`` signs with a line each, every token that can mean a folded word of ``whole`` or one
+    that begins as ``prefixes`` do, that can begin a word of ``whole``, or that may be a single sign. It may find others too.
+
+    What a token can mean is spelled by classes of signs that fold alike, drawn out or with separators between, from a place
+    that no letter precedes. The words share their beginnings as a tree. Nothing that was read is given back, so no token is read more than once from a place.
+    """
+    tree: dict = {}
+    for kind, words in (("whole", whole), ("prefix", prefixes)):
+        for word in words:
+            node = tree
+            for n, sign in enumerate(word, 1):
+                node = node.setdefault(sign, {})
+                if kind == "whole":
+                    node["start"] = True
+                if n == DEEPEST:
+                    break
+            node["prefix" if len(word) > DEEPEST else kind] = True
+    gaps = "".join(map(re.escape, sorted(SEPARATORS)))
+
+    def pattern(node: dict) -> str:
+        ways = []
+        for sign, below in node.items():
+            if len(sign) > 1:
+                continue
+            alike = ("" if sign in _FOLDED else sign) + "".join(c for c, x in _FOLDED.items() if x == sign)
+            same, letters = "".join(map(re.escape, alike)), "".join(c for c in alike if c.isalpha())
+            if "prefix" in below:
+                ways.append(f"[{same}]")
+                continue
+            more = [pattern(below)] if any(len(k) == 1 for k in below) else []
+            if "start" in below:
+                more.append(r"(?:[^\w\s]|_)*+$")
+            after = [f"[{same}{gaps}]*+(?:{'|'.join(more)})"] if more else []
+            if "whole" in below:
+                after.append((f"[{letters}]*+" if letters else "") + _NO_LETTER)
+            ways.append(f"[{same}](?:{'|'.join(after)})")
+        return f"(?:{'|'.join(ways)})"
+
+    words = rf"|(?<![^\W\d_]){pattern(tree)}" if tree else ""
+    return re.compile(r"^.{1,3}$" + words, re.M)
+
+
 def is_single(word: str) -> bool:
     """Whether a word is one sign, which separators may follow or precede."""
     return len(word) == 1 or len(word) < 4 and len(word.strip(_EDGE_SEPARATORS)) == 1
@@ -220,6 +264,7 @@ class Finder:
         self.heads = {f[:3] for f in self.prefixes}
         self.lengths = sorted({len(f) for f in self.prefixes})
         self.longest = max(map(len, self.prefixes | self.whole), default=0)
+        self.may_count = may_count(self.whole, self.prefixes)
         self.pairs, self.joined = Memo(folded, 10_000), Memo(self._token, 10_000)
 
     def _worth(self, token: str) -> bool:
@@ -283,19 +328,24 @@ class Finder:
         hits = self._token(token) if may else ()
         return (hits, begun, single) if hits or begun or single else ()
 
-    def _learn(self, tokens: list[str]) -> None:
-        """Values of tokens that the newer half lacks; all of them are folded in one go."""
-        if len(self.newer) > self.limit:
-            self.newer, self.older = {}, self.newer
-        flats = _REPEAT_WITHIN.sub(r"\1", "\n".join(tokens).translate(_FOLD)).split("\n")
-        newer, older, heads, starts, fitted = self.newer, self.older, self.heads, self.starts, self.known is not None
-        for token, flat in zip(tokens, flats):
-            if token in older:
-                newer[token] = older[token]
-            elif fitted and token.isalpha() and flat not in starts and flat[:3] not in heads and flat[:2] not in heads and flat[:1] not in heads and len(token) > 1:
-                newer[token] = ()  # most tokens
-            else:
-                newer[token] = self._value(token, flat)
+    def _learn(self, tokens: set[str]) -> None:
+        """Values of tokens that the newer half lacks. Most of them hold nothing that ``may_count`` finds; only the others are folded."""
+        newer, older = self.newer, self.older
+        if self.known is None:
+            for token in tokens:
+                newer[token] = older[token] if token in older else self._value(token, "")
+            return
+        again = older.keys() & tokens
+        tokens = list(tokens - again) if again else list(tokens)
+        newer.update(dict.fromkeys(tokens, ()))
+        newer.update((t, older[t]) for t in again)
+        found = {t for t in tokens if len(t) > TRIED}
+        joined = "\n".join([t for t in tokens if t not in found] if found else tokens)
+        for m in self.may_count.finditer(joined):
+            end = joined.find("\n", m.start())
+            found.add(joined[joined.rfind("\n", 0, m.start()) + 1 : end if end >= 0 else len(joined)])
+        for token in found:
+            newer[token] = self._value(token, folded(token))
 
     def _split(self, words: list[str], begun: list[tuple[int, tuple]]) -> list[str]:
         """Neighbours that fold like a known whole word, as one token with blanks, from the places where one may begin."""
@@ -318,8 +368,10 @@ class Finder:
 
     def __call__(self, text: str) -> set:
         words = text.lower().split()
-        while new := set(words).difference(self.newer):  # twice if some of them go with the older half
-            self._learn(list(new))
+        if len(self.newer) > self.limit:
+            self.newer, self.older = {}, self.newer
+        if new := set(words).difference(self.newer):
+            self._learn(new)
         counting = [(i, v) for i, v in enumerate(map(self.newer.__getitem__, words)) if v]
         found: set = set()
         for _, (hits, _, _) in counting:
