@@ -9,18 +9,20 @@ protocol makes the files whole even when tasks are repeated, and any store that
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lakestrata.llm.shared import per_process
+from lakestrata.llm.shared import Memo, per_process
 
 WIDTH = 8
 BLOCK = 512  # bits between two counts of the directory
@@ -87,6 +89,13 @@ class Codes:
         return out
 
 
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]*)").fullmatch
+#: How byte-level tokenizers write the bytes of such letters: those that are no printable sign of Latin-1 by signs from U+0100 on.
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+_SIGNS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+_BYTES = {c: "".join(_SIGNS[b] for b in chr(c).encode()) for c in range(0xC0, 0x250)}
+
+
 class WordEncoder:
     """Ids by a byte-level tokenizer of the tokenizers library, which encodes each distinct word once per worker.
 
@@ -95,7 +104,9 @@ class WordEncoder:
     blanks, or that hold a special token, go through the library whole.
     """
 
-    WORDS = 700_000
+    WORDS = 350_000  # held in each of two halves; the older one goes when the newer one is full
+    TOGETHER = 100  # words in one string for the library, which takes longer for a word of a long string
+    PART = 1 << 22  # characters of text whose words are told apart at a time
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -106,37 +117,91 @@ class WordEncoder:
         self.opens[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        # A byte-level pattern makes one piece of letters and the blank before them, and one of the marks that follow to the next blank.
+        before = self.library.pre_tokenizer
+        self.plain = self.library.normalizer is None and type(before).__name__ == "ByteLevel" and before.use_regex and not before.add_prefix_space
+        self.firsts, self.tails = Memo(self.whole, 50_000), Memo(self.whole, 10_000)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, words: list[str]) -> None:
-        """Encode many new words, each with a blank before it, as one string."""
-        if not words:
-            return
-        ids = np.array(self.library.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        starts = (np.flatnonzero(self.opens[ids]) * 4).tolist()
-        if len(starts) != len(words):
-            raise ValueError("the tokenizer does not keep words apart")
-        data = ids.tobytes()
-        self.known.update(zip(words, map(data.__getitem__, map(slice, starts, [*starts[1:], len(data)]))))
+        """Encode new words, each with a blank before it: many as one string, or, where it is plain what pieces reach the library's model, piece by piece."""
+        if self.plain:
+            tokenize, known, tails, rest = self.library.model.tokenize, self.known, self.tails, []
+            for w in words:
+                if not (m := _PLAIN(w)):
+                    rest.append(w)
+                    continue
+                letters, tail = m.groups()
+                ids = known.get(letters) if tail else None
+                if ids is None:
+                    ids = array("I", [t.id for t in tokenize("Ġ" + (letters if letters.isascii() else letters.translate(_BYTES)))]).tobytes()
+                known[w] = ids + tails[tail] if tail else ids
+            words = rest
+        for begin in range(0, len(words), self.TOGETHER):
+            some = words[begin : begin + self.TOGETHER]
+            ids = np.array(self.library.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            starts = (np.flatnonzero(self.opens[ids]) * 4).tolist()
+            if len(starts) != len(some):
+                raise ValueError("the tokenizer does not keep words apart")
+            data = ids.tobytes()
+            self.known.update(zip(some, map(data.__getitem__, map(slice, starts, [*starts[1:], len(data)]))))
+
+    def odd(self, words: list[str]) -> set[str]:
+        """Words that are empty, have other white space at an end and so do not stand between two lone blanks, or hold a special token."""
+        found = {w for w in words if not w or w[0].isspace() or w[-1].isspace()}
+        if any(s in joined for joined in ["\n".join(words)] for s in self.special):
+            found.update(w for w in words if any(s in w for s in self.special))
+        return found
+
+    def ids(self, words: list[str]) -> tuple[list[bytes], np.ndarray]:
+        """Ids of different words with a blank before each, and which of the words are odd and have none."""
+        if len(self.known) > self.WORDS:
+            self.known, self.older = {}, self.known
+        new = set(words).difference(self.known)
+        again = self.older.keys() & new
+        self.known.update((w, self.older[w]) for w in again)
+        new -= again
+        odd = self.odd(list(new))
+        self.learn(list(new - odd))
+        if not odd:
+            return list(map(self.known.__getitem__, words)), np.zeros(len(words), bool)
+        return [self.known.get(w, b"") for w in words], np.array([w in odd for w in words])
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        out, begin, size = [], 0, 0
+        for end, text in enumerate(texts, 1):
+            size += len(text)
+            if size > self.PART or end == len(texts):
+                out += self._encode(texts[begin:end])
+                begin, size = end, 0
+        return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        """Every occurrence of a word is a number, so ids are put together by array operations."""
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        words = split.flatten().dictionary_encode()
+        at, names = words.indices.to_numpy(), words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        begins = np.cumsum(lengths := pc.list_value_length(split).to_numpy()) - lengths
+        firsts = [names[k] for k in at[begins].tolist()]
+        pieces, odd = self.ids(names)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        data, starts = np.frombuffer(b"".join(pieces), "<u4"), np.cumsum(sizes) - sizes
+        # The first word has no blank before it and is encoded apart.
+        n, other = sizes[at], odd[at]
+        n[begins], other[begins] = 0, False
+        place = np.repeat(starts[at] - (np.cumsum(n) - n), n)
+        place += np.arange(len(place))
+        flat = data[place].tobytes()
+        ends = np.cumsum(np.add.reduceat(n, begins)) * 4
         out = []
-        for begin in range(0, len(texts), 500):
-            part = [t.split(" ") for t in texts[begin : begin + 500]]
-            if len(self.known) > self.WORDS:
-                self.known.clear()
-            new = set(chain.from_iterable(words[1:] for words in part)).difference(self.known)
-            # A word that is empty or has other white space at an end does not stand between two lone blanks.
-            odd = {w for w in new if not w or w[0].isspace() or w[-1].isspace() or any(s in w for s in self.special)}
-            self.learn(list(new - odd))
-            for text, words in zip(texts[begin : begin + 500], part):
-                first, rest = words[0], words[1:]
-                if first[-1:].isspace() or any(s in first for s in self.special) or (odd and not odd.isdisjoint(rest)):
-                    out.append(self.whole(text))
-                else:
-                    out.append((self.whole(first) if first else b"") + b"".join(map(self.known.__getitem__, rest)))
+        for text, first, bad, a, b in zip(texts, firsts, np.logical_or.reduceat(other, begins).tolist(), [0, *ends[:-1].tolist()], ends.tolist()):
+            if bad or first[-1:].isspace() or any(s in first for s in self.special):
+                out.append(self.whole(text))
+            else:
+                out.append((self.firsts[first] if first else b"") + flat[a:b])
         return out
 
 
