@@ -138,7 +138,9 @@ class WordEncoder:
                 ids = known.get(letters) if tail else None
                 if ids is None:
                     ids = array("I", [t.id for t in tokenize("Ġ" + (letters if letters.isascii() else letters.translate(_BYTES)))]).tobytes()
-                known[w] = ids + tails[tail] if tail else ids
+                    known[letters] = ids
+                if tail:
+                    known[w] = ids + tails[tail]
             words = rest
         for begin in range(0, len(words), self.TOGETHER):
             some = words[begin : begin + self.TOGETHER]
@@ -263,7 +265,8 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
             for row in batch.to_pylist():
                 codes = Codes(row["levels"], row["bitmaps"], row["ranks"])
                 begins = [0, *row["doc_ends"][:-1]]
-                crcs = [zlib.crc32(codes.tokens(a, b).astype("<u4").tobytes()) for a, b in zip(begins, row["doc_ends"])]
+                ids = codes.tokens(0, len(codes)).astype("<u4")
+                crcs = [zlib.crc32(ids[a:b]) for a, b in zip(begins, row["doc_ends"])]
                 n = len(crcs)
                 columns = [
                     pa.array([row["part"]] * n, pa.int32()), pa.array([row["seq"]] * n, pa.int32()), pa.array(row["doc_ids"], pa.int64()),
