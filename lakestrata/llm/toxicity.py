@@ -48,6 +48,8 @@ _EDGE_SEPARATORS = "".join(sorted(SEPARATORS))
 #: What characters may stand for, as one sign for all that may be the same letter; separators go.
 _FOLDED = {c: x[0] for c, x in LOOKALIKES.items()} | {c: "" for c in SEPARATORS} | {"l": "i", "£": "i"}
 _FOLD = str.maketrans(_FOLDED)
+#: Letters and marks behind them that stand for no letter; the letters, if they are one word, are all that such a token can mean.
+_PLAIN = re.compile(rf"([^\W\d_]+)[^\w\s{_LOOKS}]*").fullmatch
 _REPEAT = re.compile(r"(.)\1+", re.S)
 _REPEAT_WITHIN = re.compile(r"([^\n])\1+")
 _DRAWN_OUT = re.compile(r"(.)\1{2,}", re.S)
@@ -113,6 +115,10 @@ def _code(c: str) -> int:
     return ord(c) - 96 if "a" <= c <= "z" else 27 if c.isalpha() else 0
 
 
+#: Codes of what a place may stand for.
+_MEANT = Memo(lambda meant: tuple(map(_code, meant)), 10_000)
+
+
 def lattice(token: str) -> list[list[tuple[str, float]]]:
     """For each place of the token what it may stand for, with costs; "" drops the place."""
     places = []
@@ -132,18 +138,20 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return places
 
 
-def decode(token: str, costs: np.ndarray) -> str:
-    """The cheapest path of the lattice: channel costs and trigram costs together; ties to the smaller text."""
-    states = {(0, 0): (0.0, "")}
+def decode(token: str, costs: np.ndarray | list) -> str:
+    """The cheapest path of the lattice: channel costs and trigram costs together; ties to the smaller text.
+
+    ``costs`` may be nested lists, which are read faster than an array.
+    """
+    states, codes = {(0, 0): (0.0, "")}, _MEANT
     for options in [*lattice(token), [(" ", 0.0)]]:
         reached: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (cost, text) in states.items():
             for meant, extra in options:
                 x, y, total = a, b, cost + extra
-                for c in meant:
-                    z = _code(c)
+                for z in codes[meant]:
                     if z or y:
-                        total += costs[x, y, z]
+                        total += costs[x][y][z]
                         x, y = y, z
                 new = (total, text + meant)
                 if (x, y) not in reached or new < reached[x, y]:
@@ -207,25 +215,71 @@ class Finder:
     """Features of texts: those in ``known`` as their places, or all as names when ``known`` is None.
 
     Blanks may split a word anywhere. Neighbours that fold like a known whole word are decoded together; no others
-    can restore to one.
+    can restore to one. Nothing is decoded that can only mean features already found.
     """
 
     def __init__(self, costs: np.ndarray, known: dict[str, int] | None = None):
-        self.costs, self.known = costs, known
+        self.costs, self.known = np.asarray(costs).tolist(), known
         # What tokens give, in two halves of which the older one goes when the newer one is full.
-        self.newer, self.older, self.limit = {}, {}, 40_000
+        self.newer, self.older, self.limit = {}, {}, 100_000
         self.whole = {folded(f[1:]) for f in known or () if f[0] == "="}
         self.starts = {f[:n] for f in self.whole for n in range(1, len(f) + 1)}
         self.prefixes = {folded(f[1:]) for f in known or () if f[0] == "^"}
         self.heads = {f[:3] for f in self.prefixes}
         self.lengths = sorted({len(f) for f in self.prefixes})
         self.longest = max(map(len, self.prefixes | self.whole), default=0)
-        self.pairs, self.joined = Memo(folded, 10_000), Memo(self._token, 10_000)
+        self.pairs, self.joined, self.folds = Memo(folded, 10_000), Memo(self._token, 10_000), Memo(self._folds, 20_000)
+        # What tells the known features of a word of letters: whole words, and beginnings by their first three letters.
+        self.words = {f[1:]: i for f, i in (known or {}).items() if f[0] == "="}
+        self.begins = {f[1:]: i for f, i in (known or {}).items() if f[0] == "^"}
+        self.openings = {f[:3] for f in self.begins}
+        self.sizes = sorted({len(f) for f in self.begins})
+        self.squeezed: dict[tuple[str, str], set[int]] = {}  # the same by kind and letters, no letter twice in a row
+        for f, i in (known or {}).items():
+            self.squeezed.setdefault((f[0], _REPEAT.sub(r"\1", f[1:])), set()).add(i)
+        self.short = sorted({len(f) for kind, f in self.squeezed if kind == "^"})
+        # Letters that may follow a beginning of a whole word.
+        after: dict[str, set[str]] = {f: {f[-1]} for f in self.starts}
+        for f in self.starts:
+            if f[:-1]:
+                after[f[:-1]].add(f[-1])
+        self.after = {f: frozenset(s | {"l"} if "i" in s else s) for f, s in after.items()}
+        self.under = Memo(self._within, 10_000)
+        self.shared: dict[tuple, tuple] = {}
 
     def _worth(self, token: str) -> bool:
         """Whether decoding may find a known feature."""
         return suspicious(token) and (self.known is None or self._may_hold(token, folded(token) if token.isalpha() else ""))
 
+    def _within(self, flat: str) -> frozenset:
+        """Every known feature that a token which folds to ``flat`` may mean: what it restores to folds like a part of it."""
+        return frozenset(i for f, i in self.known.items() if folded(f[1:]) in flat)
+
+    def _folds(self, word: str) -> tuple:
+        """How a word folds, and how without marks at its edges if that differs."""
+        return tuple(dict.fromkeys((folded(word), folded(_EDGE_NOISE.sub("", word)))))
+
+    def _plain(self, token: str, letters: str, flat: str) -> tuple:
+        """What ``_value`` gives for ``letters``, which fold to ``flat``, and marks behind them that stand for no letter.
+
+        Such a token means its letters, of which any that stands there twice may be one. It is decoded
+        only if that could give other features than the letters have as they are.
+        """
+        hits = [self.words[letters]] if letters in self.words else []
+        if letters[:3] in self.openings:
+            hits += [self.begins[f] for n in self.sizes if n <= len(letters) and (f := letters[:n]) in self.begins]
+        if len(flat) < len(letters) and _TWICE.search(letters):
+            once = _REPEAT.sub(r"\1", letters)
+            may = self.squeezed.get(("=", once), set()).union(*(self.squeezed.get(("^", once[:n]), ()) for n in self.short if n <= len(once)))
+            if not may.issubset(hits):
+                hits = self._token(token)
+        begun = (flat,) if flat in self.starts else ()
+        single = len(token) < 4 and is_single(token)
+        if not (hits or begun or single):
+            return ()
+        value = (tuple(sorted(hits)), begun, single)
+        return self.shared.setdefault(value, value)
+
     def _may_hold(self, token: str, flat: str) -> bool:
         """Whether a token, which folds to ``flat`` if it is all letters, can mean a word with a known feature.
 
@@ -286,48 +340,97 @@ class Finder:
     def _learn(self, tokens: list[str]) -> None:
         """Values of tokens that the newer half lacks; all of them are folded in one go."""
         if len(self.newer) > self.limit:
-            self.newer, self.older = {}, self.newer
-        flats = _REPEAT_WITHIN.sub(r"\1", "\n".join(tokens).translate(_FOLD)).split("\n")
-        newer, older, heads, starts, fitted = self.newer, self.older, self.heads, self.starts, self.known is not None
-        for token, flat in zip(tokens, flats):
-            if token in older:
-                newer[token] = older[token]
-            elif fitted and token.isalpha() and flat not in starts and flat[:3] not in heads and flat[:2] not in heads and flat[:1] not in heads and len(token) > 1:
+            self.newer, self.older, self.shared = {}, self.newer, {}
+        newer, older = self.newer, self.older
+        if self.known is None:
+            newer.update((t, older[t] if t in older else self._value(t, "")) for t in tokens)
+            return
+        for token in (again := older.keys() & tokens):
+            newer[token] = older[token]
+        some, letters = [], []
+        for token in tokens:
+            if token in again:
+                continue
+            if token.isalpha():
+                some.append(token)
+                letters.append(token)
+            elif (m := _PLAIN(token)) and m[1].isalpha():
+                some.append(token)
+                letters.append(m[1])
+            else:
+                newer[token] = self._value(token, folded(token))
+        heads, starts, words, plain = self.openings, self.starts, self.words, self._plain
+        # Letters fold like themselves but for l.
+        flats = _REPEAT_WITHIN.sub(r"\1", "\n".join(letters).replace("l", "i")).split("\n")
+        for token, word, flat in zip(some, letters, flats):
+            if len(flat) == len(word) > 1 and word[:3] not in heads and flat not in starts and word not in words:
                 newer[token] = ()  # most tokens
             else:
-                newer[token] = self._value(token, flat)
+                newer[token] = plain(token, word, flat)
+
+    def _split(self, words: list[str], begun: list[tuple[int, tuple]], found: set) -> set[str]:
+        """Neighbours that fold like a known whole word, as one token with blanks, from the places where one may begin.
 
-    def _split(self, words: list[str], begun: list[tuple[int, tuple]]) -> list[str]:
-        """Neighbours that fold like a known whole word, as one token with blanks, from the places where one may begin."""
-        runs = []
+        Those that can only mean features in ``found`` are left out, and not looked at one by one where the
+        same word stands again and again.
+        """
+        runs, after, ends = set(), self.after, None
         for i, forms in begun:
-            for j in range(i + 1, len(words)):
+            flat = self.folds[words[i]][0]
+            j = i + 1
+            while j < len(words):
                 if (c := words[j][0]).isalpha():
-                    sign = _FOLDED.get(c, c)
-                    forms = [a for a in forms if a[-1] == sign or a + sign in self.starts]
+                    forms = [a for a in forms if c in after[a]]
                     if not forms:
                         break
-                folds = {folded(words[j]), folded(_EDGE_NOISE.sub("", words[j]))}
-                if folds != {""}:
+                folds, old, before = self.folds[words[j]], flat, forms
+                flat += folds[0][folds[0][:1] == flat[-1:] :] if flat else folds[0]
+                done = True
+                if folds != ("",):
                     forms = {f for a in forms for b in folds if (f := a + b[b[:1] == a[-1] :]) in self.starts}
                     if not self.whole.isdisjoint(forms):
-                        runs.append(" ".join(words[i : j + 1]))
+                        done = (self.under[flat] if len(flat) < 64 else self._within(flat)) <= found
+                        if not done:
+                            runs.add(" ".join(words[i : j + 1]))
                     if not forms:
                         break
+                if done and flat == old and len(forms) == len(before) and set(forms) == set(before) and j + 1 < len(words) and words[j + 1] == words[j]:
+                    # The same word once more changes nothing.
+                    if ends is None:
+                        ends = [len(words)] * len(words)
+                        for k in range(len(words) - 2, -1, -1):
+                            ends[k] = ends[k + 1] if words[k] == words[k + 1] else k + 1
+                    j = ends[j]
+                else:
+                    j += 1
         return runs
 
     def __call__(self, text: str) -> set:
         words = text.lower().split()
-        while new := set(words).difference(self.newer):  # twice if some of them go with the older half
+        seen = set(words)
+        while new := seen.difference(self.newer):  # twice if some of them go with the older half
             self._learn(list(new))
-        counting = [(i, v) for i, v in enumerate(map(self.newer.__getitem__, words)) if v]
+        if self.known is None:
+            names = {f for w in seen for f in self.newer[w][0]}
+            for token in joined_runs(words, [i for i, w in enumerate(words) if self.newer[w][2]]):
+                names.update(self.joined[token])
+            return {f for w in names for f in word_features(w)}
         found: set = set()
-        for _, (hits, _, _) in counting:
-            found.update(hits)
-        more = joined_runs(words, [i for i, v in counting if v[2]]) + self._split(words, [(i, v[1]) for i, v in counting if v[1]])
-        for token in set(more):
+        opening = {}  # words that may begin a split word, and single signs
+        for word in seen:
+            if value := self.newer[word]:
+                hits, begun, single = value
+                found.update(hits)
+                if begun or single:
+                    opening[word] = value
+        places = [(i, opening[w]) for i, w in enumerate(words) if w in opening]
+        tokens = self._split(words, [(i, v[1]) for i, v in places if v[1]], found)
+        for token in joined_runs(words, [i for i, v in places if v[2]]):
+            if token in self.joined or not self._within(folded(token)) <= found:
+                tokens.add(token)
+        for token in tokens:
             found.update(self.joined[token])
-        return {f for w in found for f in word_features(w)} if self.known is None else found
+        return found
 
 
 class Model(NamedTuple):
