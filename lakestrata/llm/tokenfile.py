@@ -90,6 +90,7 @@ class Codes:
 
 
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]*)").fullmatch
+_MARKS = re.compile(r"[!-/:-@\[-`{-~]*").fullmatch
 #: How byte-level tokenizers write the bytes of such letters: those that are no printable sign of Latin-1 by signs from U+0100 on.
 _SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
 _SIGNS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
@@ -121,35 +122,60 @@ class WordEncoder:
         # A byte-level pattern makes one piece of letters and the blank before them, and one of the marks that follow to the next blank.
         before = self.library.pre_tokenizer
         self.plain = self.library.normalizer is None and type(before).__name__ == "ByteLevel" and before.use_regex and not before.add_prefix_space
-        self.firsts, self.tails = Memo(self.whole, 50_000), Memo(self.whole, 10_000)
+        self.plain = self.plain and not any("\n" in t or t.isalpha() or _MARKS(t) or _PLAIN(t) for t in self.special)  # which such words might hold
+        self.firsts, self.tails, self.bare = Memo(self.whole, 50_000), Memo(self.whole, 10_000), Memo(lambda letters: self.piece(letters, ""), 50_000)
+        self.tokenize = self.library.model.tokenize
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: list[str]) -> None:
-        """Encode new words, each with a blank before it: many as one string, or, where it is plain what pieces reach the library's model, piece by piece."""
+    def piece(self, letters: str, before: str = "Ġ") -> bytes:
+        """Ids of letters that are a piece for the model, together with the sign before them."""
+        return array("I", [t.id for t in self.tokenize(before + (letters if letters.isascii() else letters.translate(_BYTES)))]).tobytes()
+
+    def learn(self, words: list[str]) -> list[bytes | None]:
+        """Ids of new words, each with a blank before it; None for an odd one, which has none.
+
+        Where it is plain what pieces reach the library's model, they are encoded piece by piece; many others as one string.
+        """
+        known, out, rest = self.known, [None] * len(words), range(len(words))
         if self.plain:
-            tokenize, known, tails, rest = self.library.model.tokenize, self.known, self.tails, []
-            for w in words:
-                if not (m := _PLAIN(w)):
-                    rest.append(w)
+            tails, bare, piece, rest = self.tails, self.bare, self.piece, []
+            for k, w in enumerate(words):
+                if w.isascii() and w.isalpha():
+                    if (ids := known.get(w)) is None:
+                        known[w] = ids = piece(w)
+                    out[k] = ids
+                    continue
+                # A line may end within a word: its break is a piece, and the next line begins without a blank.
+                end, line, start = w.partition("\n")
+                if not (m := _PLAIN(end)) or line and not (after := _PLAIN(start)):
+                    rest.append(k)
                     continue
                 letters, tail = m.groups()
-                ids = known.get(letters) if tail else None
-                if ids is None:
-                    ids = array("I", [t.id for t in tokenize("Ġ" + (letters if letters.isascii() else letters.translate(_BYTES)))]).tobytes()
-                    known[letters] = ids
+                if (ids := known.get(letters)) is None:
+                    known[letters] = ids = piece(letters)
                 if tail:
-                    known[w] = ids + tails[tail]
-            words = rest
-        for begin in range(0, len(words), self.TOGETHER):
-            some = words[begin : begin + self.TOGETHER]
-            ids = np.array(self.library.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+                    ids += tails[tail]
+                if line:
+                    letters, tail = after.groups()
+                    ids += tails[line] + bare[letters]
+                    if tail:
+                        ids += tails[tail]
+                known[w] = out[k] = ids
+        odd = self.odd([words[k] for k in rest])
+        rest = [k for k in rest if words[k] not in odd]
+        for begin in range(0, len(rest), self.TOGETHER):
+            some = rest[begin : begin + self.TOGETHER]
+            text = " " + " ".join([words[k] for k in some])
+            ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             starts = (np.flatnonzero(self.opens[ids]) * 4).tolist()
             if len(starts) != len(some):
                 raise ValueError("the tokenizer does not keep words apart")
             data = ids.tobytes()
-            self.known.update(zip(some, map(data.__getitem__, map(slice, starts, [*starts[1:], len(data)]))))
+            for k, a, b in zip(some, starts, [*starts[1:], len(data)]):
+                known[words[k]] = out[k] = data[a:b]
+        return out
 
     def odd(self, words: list[str]) -> set[str]:
         """Words that are empty, have other white space at an end and so do not stand between two lone blanks, or hold a special token."""
@@ -162,46 +188,54 @@ class WordEncoder:
         """Ids of different words with a blank before each, and which of the words are odd and have none."""
         if len(self.known) > self.WORDS:
             self.known, self.older = {}, self.known
-        new = set(words).difference(self.known)
-        again = self.older.keys() & new
-        self.known.update((w, self.older[w]) for w in again)
-        new -= again
-        odd = self.odd(list(new))
-        self.learn(list(new - odd))
-        if not odd:
-            return list(map(self.known.__getitem__, words)), np.zeros(len(words), bool)
-        return [self.known.get(w, b"") for w in words], np.array([w in odd for w in words])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        known, older, odd = self.known, self.older, np.zeros(len(words), bool)
+        pieces = list(map(known.get, words))
+        new = [k for k, p in enumerate(pieces) if p is None]
+        if older:
+            for k in new:
+                if (p := older.get(words[k])) is not None:
+                    known[words[k]] = pieces[k] = p
+            new = [k for k in new if pieces[k] is None]
+        for k, p in zip(new, self.learn([words[k] for k in new])):
+            if p is None:
+                odd[k], p = True, b""
+            pieces[k] = p
+        return pieces, odd
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        column = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())).cast(pa.large_string())
         out, begin, size = [], 0, 0
-        for end, text in enumerate(texts, 1):
-            size += len(text)
-            if size > self.PART or end == len(texts):
-                out += self._encode(texts[begin:end])
+        for end, n in enumerate(pc.utf8_length(column).to_pylist(), 1):
+            size += n
+            if size > self.PART or end == len(column):
+                out += self._encode(column[begin:end])
                 begin, size = end, 0
         return out
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _encode(self, texts: pa.Array) -> list[bytes]:
         """Every occurrence of a word is a number, so ids are put together by array operations."""
-        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        split = pc.split_pattern(texts, " ")
         words = split.flatten().dictionary_encode()
         at, names = words.indices.to_numpy(), words.dictionary.to_numpy(zero_copy_only=False).tolist()
         begins = np.cumsum(lengths := pc.list_value_length(split).to_numpy()) - lengths
         firsts = [names[k] for k in at[begins].tolist()]
         pieces, odd = self.ids(names)
+        data = np.frombuffer(b"".join(pieces), "<u4")
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
-        data, starts = np.frombuffer(b"".join(pieces), "<u4"), np.cumsum(sizes) - sizes
+        starts = np.cumsum(sizes) - sizes
         # The first word has no blank before it and is encoded apart.
-        n, other = sizes[at], odd[at]
+        n, other = sizes[at], odd[at] if odd.any() else np.zeros(len(at), bool)
         n[begins], other[begins] = 0, False
-        place = np.repeat(starts[at] - (np.cumsum(n) - n), n)
-        place += np.arange(len(place))
+        total = int(n.sum())
+        kind = np.int32 if max(total, len(data)) < 1 << 31 else np.int64
+        place = np.repeat((starts[at] - (np.cumsum(n) - n)).astype(kind), n)
+        place += np.arange(total, dtype=kind)
         flat = data[place].tobytes()
         ends = np.cumsum(np.add.reduceat(n, begins)) * 4
         out = []
-        for text, first, bad, a, b in zip(texts, firsts, np.logical_or.reduceat(other, begins).tolist(), [0, *ends[:-1].tolist()], ends.tolist()):
+        for k, first, bad, a, b in zip(range(len(texts)), firsts, np.logical_or.reduceat(other, begins).tolist(), [0, *ends[:-1].tolist()], ends.tolist()):
             if bad or first[-1:].isspace() or any(s in first for s in self.special):
-                out.append(self.whole(text))
+                out.append(self.whole(texts[k].as_py()))
             else:
                 out.append((self.firsts[first] if first else b"") + flat[a:b])
         return out
@@ -230,7 +264,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
             return pa.RecordBatch.from_arrays([pa.array([v], kinds.get(k, pa.list_(pa.binary()))) for k, v in row.items()], list(row))
 
         for batch in batches:
-            for doc_id, ids in zip(batch["doc_id"].to_pylist(), encoder.encode(batch["text"].to_pylist())):
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), encoder.encode(batch["text"])):
                 pieces += (ids, end)
                 total += len(ids) // 4 + 1
                 doc_ids.append(doc_id)
