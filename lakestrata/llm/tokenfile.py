@@ -105,7 +105,7 @@ class WordEncoder:
     blanks, or that hold a special token, go through the library whole.
     """
 
-    WORDS = 350_000  # held in each of two halves; the older one goes when the newer one is full
+    WORDS = 250_000  # held in each of two halves; the older one goes when the newer one is full
     TOGETHER = 100  # words in one string for the library, which takes longer for a word of a long string
     PART = 1 << 22  # characters of text whose words are told apart at a time
 
